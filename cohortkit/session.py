@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,19 +26,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the session names; our own only for a local master."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        # with a local master every task sees the same disk; elsewhere it would not
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="cohortkit-checkpoint-")
+        context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in reliable storage and cut its lineage.
+    """Materialise ``df`` as a table in the shared checkpoint folder and cut its lineage.
 
-    Uses the shared folder named by ``spark.checkpoint.dir``.  A folder of our
-    own is made only for a local master, where every task sees the same disk.
+    A written table rather than DataFrame.checkpoint(): the plan runs once, not
+    twice, and later reads prune columns.  A lost executor costs nothing.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="cohortkit-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/cohortkit-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
