@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cohortkit.session import checkpoint
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on same-named keys in which NULL meets NULL."""
@@ -89,9 +91,10 @@ def value_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
 
     Returns by..., n, and one column per probability (p00, p25, ...).  NULLs are
     left out; groups without a value are absent.  Works on value counts, so
-    neither a group nor its distinct values sit in one task.
+    neither a group nor its distinct values sit in one task.  The counts are
+    written once: three passes read them, and the source only one.
     """
-    freq = (df.where(F.col(value).isNotNull())
+    freq = checkpoint(df.where(F.col(value).isNotNull())
             .groupBy(*by, F.col(value).cast("double").alias("value"))
             .agg(F.count(F.lit(1)).alias("n")))
     keyed = freq if by else freq.withColumn("_all", F.lit(0))

@@ -36,7 +36,8 @@ def ols_trend(df: DataFrame, t: str, ys: Sequence[str] | str) -> DataFrame:
     return fit.select(
         "outcome", "n", "slope", "intercept", "r2",
         F.sqrt(F.try_divide("s2", sxx)).alias("se_slope"),
-        F.sqrt(F.col("s2") * (1 / F.col("n") + F.try_divide(F.col("mean_t") ** 2, sxx)))
+        F.sqrt(F.col("s2") * (F.try_divide(F.lit(1.0), F.col("n"))
+                            + F.try_divide(F.col("mean_t") ** 2, sxx)))
         .alias("se_intercept"))
 
 
@@ -64,7 +65,7 @@ def segmented_ols(df: DataFrame, t: str, ys: Sequence[str], cut: int = EARLY_CUT
                           F.lit(0.0))
 
     def at_zero(s):
-        return 1 / col(f"n_{s}") + F.try_divide(col(f"m_{s}") ** 2, col(f"sxx_{s}"))
+        return F.try_divide(F.lit(1.0), col(f"n_{s}")) + F.try_divide(col(f"m_{s}") ** 2, col(f"sxx_{s}"))
 
     n = col("n_e") + col("n_l")
     fit = fit.withColumn("s2", F.try_divide(ssr("e") + ssr("l"), F.nullif(n - 4, F.lit(0))))

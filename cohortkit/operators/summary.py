@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cohortkit.functions.distributions import chi_square_p, normal_p
 from cohortkit.functions.expressions import flag
 from cohortkit.functions.ordering import cumulative_counts, value_quantiles
+from cohortkit.session import checkpoint
 
 MISSING = "(Missing)"
 
@@ -37,35 +38,37 @@ def table1_categorical(df: DataFrame, by: str, cols: Sequence[str],
     return counts.withColumn("pct", F.col("n") / whole)
 
 
-def rank_sum(df: DataFrame, by: str, col: str, levels: Sequence = (0, 1), buckets: int = 64,
-             with_p: bool = False) -> DataFrame:
-    """Wilcoxon rank-sum of the first level against the second.
+def rank_sum(df: DataFrame, by: str, cols: Sequence[str], levels: Sequence = (0, 1),
+             buckets: int = 64, with_p: bool = False) -> DataFrame:
+    """Wilcoxon rank-sum of the first level against the second, for each column.
 
     W is the rank sum of the first group less its minimum; z carries the tie and
-    continuity corrections.  Ranks come from value counts, so no task sorts the
+    continuity corrections.  Ranks come from value counts, so no task sorts a
     whole column.
     """
     first, second = levels
-    arm = lambda level: F.sum(flag(F.col(by) == level))
-    freq = (df.where(F.col(col).isNotNull() & F.col(by).isin(first, second))
-            .groupBy(F.lit(0).alias("_all"), F.col(col).cast("double").alias("_value"))
-            .agg(F.count(F.lit(1)).alias("t"), arm(first).alias("t1")))
-    ranked = cumulative_counts(freq, ["_all"], "_value", ["t"], buckets)
+    long = df.where(F.col(by).isin(first, second)).select(
+        flag(F.col(by) == first).alias("_first"),
+        *(F.col(c).cast("double").alias(c) for c in cols)).unpivot(
+        ["_first"], list(cols), "variable", "_value")
+    freq = checkpoint(long.where(F.col("_value").isNotNull()).groupBy("variable", "_value").agg(
+        F.count(F.lit(1)).alias("t"), F.sum("_first").alias("t1")))
+    ranked = cumulative_counts(freq, ["variable"], "_value", ["t"], buckets)
     middle = F.col("cum_t") - F.col("t") + (F.col("t") + 1) / 2
     t = F.col("t").cast("double")
-    sums = ranked.agg(F.sum("t").alias("n"), F.sum("t1").alias("n1"),
-                      F.sum(F.col("t1") * middle).alias("ranks"),
-                      F.sum(t * t * t - t).alias("ties"))
+    sums = ranked.groupBy("variable").agg(
+        F.sum("t").alias("n"), F.sum("t1").alias("n1"), F.sum(F.col("t1") * middle).alias("ranks"),
+        F.sum(t * t * t - t).alias("ties"))
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
     n2 = n - n1
     out = sums.select(
-        F.lit(col).alias("variable"), F.col("n1").alias("n_first"),
-        (F.col("n") - F.col("n1")).alias("n_second"),
+        "variable", F.col("n1").alias("n_first"), (F.col("n") - F.col("n1")).alias("n_second"),
         (F.col("ranks") - n1 * (n1 + 1) / 2).alias("w"),
         F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))).alias("sd"),
-        (n1 * n2 / 2).alias("expected"))
-    shift = F.col("w") - F.col("expected")
-    out = out.withColumn("z", F.try_divide(shift - F.signum(shift) * 0.5, F.col("sd"))).drop("expected")
+        (n1 * n2 / 2).alias("_expected"))
+    shift = F.col("w") - F.col("_expected")
+    z = F.try_divide(shift - F.signum(shift) * 0.5, F.col("sd"))
+    out = out.withColumn("z", z).drop("_expected")
     return out.withColumn("p", normal_p(F.col("z"))) if with_p else out
 
 

@@ -7,7 +7,6 @@ Doubles are rounded so that results can be compared by value.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -42,16 +41,24 @@ def neat(df: DataFrame, digits: int = 6) -> DataFrame:
                        for c, kind in df.dtypes))
 
 
-def timeline_study(spark: SparkSession, folder: str,
-                   keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Study:
+def timeline_study(spark: SparkSession, folder: str, stored_facts: bool = False) -> Study:
+    """The study over the timeline lens.
+
+    ``stored_facts`` writes the person table once, for results that join it many
+    times: the study expects it as a stored table, not as a query.
+    """
     lens = lenses.Timeline(parquet_tables(tune(spark), folder))
-    sources = {
-        "facts": lens.facts(), "drugs": lens.drugs(), "measurements": lens.measurements(),
-        "conditions": lens.conditions(), "procedures": lens.procedures(),
-        "observations": lens.observations(), "members": lens.concept_set_members(),
-        "concepts": lens.concepts(), "zips": lens.zips(), "injuries": lens.injuries(),
-        "major_procedures": lens.major_procedures(), "late_infections": lens.late_infections()}
-    return Study(spark, sources, PARAMS, labs=lens.labs(), states=lens.states(), keep=keep)
+    roles = {"members": lens.concept_set_members}
+    own = {"labs": lens.labs, "states": lens.states}
+
+    def source(role: str) -> DataFrame:
+        df = roles.get(role, getattr(lens, role, None))()
+        return checkpoint(df) if role == "facts" and stored_facts else df
+
+    def lookup(name: str) -> DataFrame:
+        return own[name]() if name in own else lookup_table(spark, name)
+
+    return Study(source, lookup, PARAMS)
 
 
 def encounter_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +69,10 @@ def _study(build: Callable[[Study], DataFrame]) -> Query:
     return lambda spark, folder: neat(build(timeline_study(spark, folder)))
 
 
+def _whole_study(build: Callable[[Study], DataFrame]) -> Query:
+    return lambda spark, folder: neat(build(timeline_study(spark, folder, stored_facts=True)))
+
+
 def _stays(build: Callable[[DataFrame], DataFrame], digits: int = 6) -> Query:
     return lambda spark, folder: neat(build(encounter_rows(spark, folder)), digits)
 
@@ -70,7 +81,7 @@ def _stays(build: Callable[[DataFrame], DataFrame], digits: int = 6) -> Query:
 
 def _early_rates(s: Study) -> DataFrame:
     return trends.condition_rates(
-        s.early_conditions, s.base_cohort, s.src["concepts"],
+        s.early_conditions, s.base_cohort, s.src("concepts"),
         {"ecmo_rate": "ecmo_in_stay", "imv_rate": "imv_in_stay",
          "antiviral_rate": "antiviral_in_stay", "steroid_rate": "steroid_in_stay"})
 
@@ -89,9 +100,9 @@ TIMELINE: dict[str, Query] = {
         "postal_code", "sdoh2", "index_start", "index_end", "first_positive", "bmi_before",
         "bmi_post", "died_in_hospital")),
     "index_calendar": _study(lambda s: s.calendar),
-    "concept_set": _study(lambda s: cohort.concept_set(s.src["members"], PARAMS.antibiotics)),
+    "concept_set": _study(lambda s: cohort.concept_set(s.src("members"), PARAMS.antibiotics)),
     "concept_set_by_name": _study(lambda s: cohort.concept_set(
-        s.src["members"], set_name="imv", latest=False)),
+        s.src("members"), set_name="imv", latest=False)),
     "exposure_days": _study(lambda s: s.exposures),
     "vasopressor_days": _study(lambda s: s.vasopressors),
     "exposures_by_day": _study(lambda s: s.by_day),
@@ -100,7 +111,7 @@ TIMELINE: dict[str, Query] = {
     "route_rates": _study(lambda s: s.rates),
     "rule_cascade": _study(lambda s: s.routed),
     "unmapped_frequency": _study(lambda s: rules.unmapped_frequency(s.routed)),
-    "route_rates_named": _study(lambda s: rules.route_rates_named(s.rates, s.src["concepts"])),
+    "route_rates_named": _study(lambda s: rules.route_rates_named(s.rates, s.src("concepts"))),
     "concept_frequency": _study(lambda s: s.drug_counts),
     "condition_frequency": _study(lambda s: trends.concept_frequency(
         s.early_conditions, "condition_concept_id", "condition_concept_name", pick="min")),
@@ -121,21 +132,21 @@ TIMELINE: dict[str, Query] = {
     "major_procedure_count": _study(lambda s: s.parts[8]),
     "first_onset": _study(lambda s: s.parts[10]),
     "first_onset_by_set": _study(lambda s: timeline.first_onset(
-        s.late_conditions, s.src["late_infections"], "condition_concept_id",
+        s.late_conditions, s.src("late_infections"), "condition_concept_id",
         "condition_start_date")),
     "assign_courses": _study(lambda s: s.courses),
     "first_course_duration": _study(lambda s: s.course_durations),
-    "course_for_cohort": _study(lambda s: s.course_for_cohort),
-    "course_quantiles": _study(lambda s: timeline.course_quantiles(
+    "course_for_cohort": _whole_study(lambda s: s.course_for_cohort),
+    "course_quantiles": _whole_study(lambda s: timeline.course_quantiles(
         s.course_for_cohort, ["outcome_iv_day4"])),
-    "course_quantiles_overall": _study(lambda s: timeline.course_quantiles(
+    "course_quantiles_overall": _whole_study(lambda s: timeline.course_quantiles(
         s.course_for_cohort, probs=(0, 0.25, 0.5, 0.75, 1))),
     "gap_episodes": _study(lambda s: s.imv_episodes),
     "long_episodes": _study(lambda s: timeline.long_episodes(s.imv_episodes, 3)),
     "weighted_score": _study(lambda s: analysis.weighted_score(s.base_cohort)),
-    "analysis_cohort": _study(lambda s: s.wide),
-    "apply_exclusions": _study(lambda s: s.main),
-    "sensitivity_frame": _study(lambda s: s.sensitivity),
+    "analysis_cohort": _whole_study(lambda s: s.wide),
+    "apply_exclusions": _whole_study(lambda s: s.main),
+    "sensitivity_frame": _whole_study(lambda s: s.sensitivity),
     "prefix_region": _study(lambda s: s.regions),
     "condition_rates": _study(_early_rates),
     "check_window": _study(_window_check),
@@ -309,9 +320,8 @@ ENCOUNTERS: dict[str, Query] = {
                      F.nullif(F.col("gender_concept_name"), F.lit("UNKNOWN_OTHER"))), "target",
         ["gender_concept_name", "race_ethnicity", "pct_group", "obesity", "smoker", *FLAGS,
          *OUTCOMES])),
-    "rank_sum": _stays(lambda e: reduce(DataFrame.unionByName, [
-        summary.rank_sum(e, "target", c) for c in ("age", "bmi", "wbc", "total_length_of_stay")]),
-        4),
+    "rank_sum": _stays(lambda e: summary.rank_sum(
+        e, "target", ["age", "bmi", "wbc", "total_length_of_stay"]), 4),
     "chi_square": _stays(lambda e: summary.chi_square(
         e, "target", ["race_ethnicity", "pct_group", "obesity", *OUTCOMES])),
     "extreme_months_chisq": _stays(lambda e: summary.extreme_months_chisq(trends.month_stats(e))),

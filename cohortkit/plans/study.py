@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cache, cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cohortkit.operators import analysis, cohort, exposure, rules, timeline, trends
 from cohortkit.sources import lookups
-from cohortkit.sources.lookups import lookup_table
 
 # Names in the published person-level fact table -> names used here.
 FACT_COLUMNS = {
@@ -36,22 +35,28 @@ FACT_COLUMNS = {
 }
 
 
-def published_sources(tables: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
-    """The study's inputs from tables in the published (OMOP-like) layout."""
-    return {
-        "facts": tables("covid_facts").withColumnsRenamed(FACT_COLUMNS),
-        "drugs": tables("drug_exposure"),
-        "measurements": tables("measurement").withColumnRenamed(
-            "harmonized_value_as_number", "value"),
-        "conditions": tables("condition_occurrence"),
-        "procedures": tables("procedure_occurrence"),
-        "observations": tables("observation"),
-        "members": tables("concept_set_members"),
-        "concepts": tables("concept"),
-        "zips": tables("zip_codes").withColumnRenamed("admin_code1", "state"),
-        "injuries": tables("Snomed_concepts_for_ccsr_injury_groups"),
-        "major_procedures": tables("Concepts_major_procedures"),
-    }
+# Names of the published tables, and the columns renamed in them.
+TABLES = {
+    "facts": ("covid_facts", FACT_COLUMNS),
+    "drugs": ("drug_exposure", {}),
+    "measurements": ("measurement", {"harmonized_value_as_number": "value"}),
+    "conditions": ("condition_occurrence", {}),
+    "procedures": ("procedure_occurrence", {}),
+    "observations": ("observation", {}),
+    "members": ("concept_set_members", {}),
+    "concepts": ("concept", {}),
+    "zips": ("zip_codes", {"admin_code1": "state"}),
+    "injuries": ("Snomed_concepts_for_ccsr_injury_groups", {}),
+    "major_procedures": ("Concepts_major_procedures", {}),
+}
+
+
+def published_sources(tables: Callable[[str], DataFrame]) -> Callable[[str], DataFrame]:
+    """The study's inputs, by role, from tables in the published (OMOP-like) layout."""
+    def source(role: str) -> DataFrame:
+        name, renamed = TABLES[role]
+        return tables(name).withColumnsRenamed(renamed)
+    return source
 
 
 @dataclass(frozen=True)
@@ -80,21 +85,22 @@ class StudyParams:
 class Study:
     """Derived datasets of the study over its source tables."""
 
-    def __init__(self, spark: SparkSession, sources: dict[str, DataFrame],
-                 params: StudyParams = StudyParams(), labs: DataFrame | None = None,
-                 states: DataFrame | None = None,
+    def __init__(self, source: Callable[[str], DataFrame], lookup: Callable[[str], DataFrame],
+                 params: StudyParams = StudyParams(),
                  keep: Callable[[DataFrame], DataFrame] = lambda df: df):
-        self.p, self.src, self.keep = params, sources, keep
-        self.routes = lookup_table(spark, "routes")
-        self.lab_concepts = lookup_table(spark, "labs") if labs is None else labs
-        self.states = lookup_table(spark, "states") if states is None else states
+        """``source`` gives the input of a role (see TABLES), ``lookup`` a literal table.
+
+        ``lookup`` is usually ``functools.partial(lookup_table, spark)``.
+        """
+        self.p, self.keep = params, keep
+        self.src, self.lookup = cache(source), cache(lookup)
 
     def _set(self, codeset: int) -> DataFrame:
-        return cohort.concept_set(self.src["members"], codeset)
+        return cohort.concept_set(self.src("members"), codeset)
 
     @cached_property
     def base_cohort(self) -> DataFrame:
-        return cohort.base_cohort(self.src["facts"])
+        return cohort.base_cohort(self.src("facts"))
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -102,21 +108,21 @@ class Study:
 
     @cached_property
     def exposures(self) -> DataFrame:
-        return self.keep(exposure.exposure_days(self.src["drugs"], self.base_cohort,
+        return self.keep(exposure.exposure_days(self.src("drugs"), self.base_cohort,
                                                 self._set(self.p.antibiotics)))
 
     @cached_property
     def vasopressors(self) -> DataFrame:
-        return exposure.exposure_days(self.src["drugs"], self.base_cohort,
+        return exposure.exposure_days(self.src("drugs"), self.base_cohort,
                                       self._set(self.p.vasopressors))
 
     @cached_property
     def rates(self) -> DataFrame:
-        return rules.route_rates(self.exposures, self.routes)
+        return rules.route_rates(self.exposures, self.lookup("routes"))
 
     @cached_property
     def routed(self) -> DataFrame:
-        return rules.rule_cascade(self.exposures, self.routes, self.rates, self.p.rules)
+        return rules.rule_cascade(self.exposures, self.lookup("routes"), self.rates, self.p.rules)
 
     @cached_property
     def by_day(self) -> DataFrame:
@@ -145,17 +151,17 @@ class Study:
 
     @cached_property
     def severity(self) -> DataFrame:
-        members = self.src["members"]
+        members = self.src("members")
         return self.keep(timeline.severity_by_day(
             self.base_cohort,
-            [(self.src["procedures"], "procedure_concept_id", "procedure_date"),
-             (self.src["observations"], "observation_concept_id", "observation_date")],
+            [(self.src("procedures"), "procedure_concept_id", "procedure_date"),
+             (self.src("observations"), "observation_concept_id", "observation_date")],
             {"imv": cohort.concept_set(members, set_name=self.p.ventilation_set),
              "ecmo": cohort.concept_set(members, set_name=self.p.ecmo_set)}))
 
     @cached_property
     def labs(self) -> DataFrame:
-        return timeline.labs_in_stay(self.src["measurements"], self.lab_concepts, self.base_cohort)
+        return timeline.labs_in_stay(self.src("measurements"), self.lookup("labs"), self.base_cohort)
 
     @cached_property
     def lab_sequence(self) -> DataFrame:
@@ -171,12 +177,12 @@ class Study:
 
     @cached_property
     def early_conditions(self) -> DataFrame:
-        return timeline.events_in_window(self.base_cohort, self.src["conditions"],
+        return timeline.events_in_window(self.base_cohort, self.src("conditions"),
                                          "condition_start_date", -2, 7)
 
     @cached_property
     def late_conditions(self) -> DataFrame:
-        return timeline.events_in_window(self.base_cohort, self.src["conditions"],
+        return timeline.events_in_window(self.base_cohort, self.src("conditions"),
                                          "condition_start_date", 8, None)
 
     @cached_property
@@ -194,7 +200,7 @@ class Study:
     def _count(self, source: str, concepts: DataFrame, concept: str, date: str, lo, hi, name: str,
                members: DataFrame | None = None, bounds: Sequence[str] = ()) -> DataFrame:
         return timeline.windowed_event_count(
-            self.base_cohort if members is None else members, self.src[source], concepts,
+            self.base_cohort if members is None else members, self.src(source), concepts,
             concept, date, lo, hi, name, bounds=bounds)
 
     @cached_property
@@ -206,17 +212,17 @@ class Study:
             self.early_pct,
             timeline.early_severity(self.severity),
             self.first_wbc,
-            self._count("conditions", src["injuries"], "condition_concept_id",
+            self._count("conditions", src("injuries"), "condition_concept_id",
                         "condition_start_date", -2, 7, "trauma_count"),
-            self._count("observations", src["injuries"], "observation_concept_id",
+            self._count("observations", src("injuries"), "observation_concept_id",
                         "observation_date", 0, 7, "trauma_observation_count"),
             self._count("drugs", self._set(p.extended_spectrum), "drug_concept_id",
                         "drug_exposure_start_date", 8, F.col("index_end"),
                         "late_exposure_count", bounds=["index_end"]),
             timeline.long_episodes(self.imv_episodes, p.long_episode, name="long_imv_count"),
             # counted for every person with facts, hospitalised or not
-            self._count("procedures", src["major_procedures"], "procedure_concept_id",
-                        "procedure_date", 0, 2, "early_major_procedure_count", src["facts"]),
+            self._count("procedures", src("major_procedures"), "procedure_concept_id",
+                        "procedure_date", 0, 2, "early_major_procedure_count", src("facts")),
             exposure.early_use_count(self.vasopressors, name="early_vasopressor_count"),
             timeline.first_onset(self.late_conditions, p.late_infections, "condition_concept_id",
                                  "condition_start_date", "late_onset"),
@@ -224,7 +230,7 @@ class Study:
 
     @cached_property
     def regions(self) -> DataFrame:
-        return analysis.prefix_region(self.src["zips"], self.states, order=self.p.prefix_order)
+        return analysis.prefix_region(self.src("zips"), self.lookup("states"), order=self.p.prefix_order)
 
     @cached_property
     def wide(self) -> DataFrame:

@@ -1,0 +1,303 @@
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from cohortkit.functions.design import spline_basis
+from cohortkit.operators import gam, impute, matching
+from cohortkit.operators.weighting import balance_table
+from cohortkit.plans import effects
+
+
+# --- additive model ----------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def survey(spark):
+    rng = np.random.default_rng(11)
+    n = 4000
+    age = rng.integers(18, 90, n)
+    site, month = rng.integers(0, 12, n), rng.integers(0, 8, n)
+    flag, sex = rng.integers(0, 2, n), rng.choice(["F", "M"], n)
+    site_effect = rng.normal(0, 0.6, 12)
+    eta = (-0.5 + 0.8 * flag + 0.3 * (sex == "M") + 1.2 * np.sin((age - 18) / 72 * np.pi)
+           + site_effect[site])
+    y = rng.random(n) < 1 / (1 + np.exp(-eta))
+    pdf = pd.DataFrame({"person_id": np.arange(n), "age": age, "site": site, "month": month,
+                        "flag": flag, "sex": sex, "y": y.astype(int), "eta": eta})
+    return spark.createDataFrame(pdf).cache(), site_effect
+
+
+def test_spline_basis():
+    x = np.array([0.0, 0.1, 3.3, 7.0, 10.0, -4.0, np.nan])
+    b = spline_basis(x, 0, 10, 10)
+    assert b.shape == (7, 10) and np.allclose(b[:6].sum(1), 1) and np.isnan(b[6]).all()
+    assert np.allclose(b[5], b[0])
+
+
+def test_without_penalties_equals_logistic(spark, survey):
+    df, _ = survey
+    fit = gam.gam_logit(df, "y", linear=["flag"], factors=["sex"])
+    got = {r.term: r.estimate for r in fit.terms(spark).collect()}
+    rows = VectorAssembler(inputCols=["flag", "m"], outputCol="x").transform(
+        df.withColumn("m", (F.col("sex") == "M").cast("int")))
+    want = LogisticRegression(labelCol="y", featuresCol="x", tol=1e-10, maxIter=200).fit(rows)
+    assert got["flag"] == pytest.approx(want.coefficients[0], abs=1e-5)
+    assert got["sex=M"] == pytest.approx(want.coefficients[1], abs=1e-5)
+    assert got["(Intercept)"] == pytest.approx(want.intercept, abs=1e-5)
+
+
+def test_recovers_smooth_and_random_effects(spark, survey):
+    df, site_effect = survey
+    fit = gam.gam_logit(df, "y", linear=["flag"], factors=["sex"], smooth=["age"],
+                        random=["site", "month"])
+    terms = {r.term: r for r in fit.terms(spark).collect()}
+    assert abs(terms["flag"].estimate - 0.8) < 3 * terms["flag"].se
+    assert terms["flag"].ci_low < terms["flag"].estimate < terms["flag"].ci_high
+    edf = {r.term: r.edf for r in fit.smooth_terms(spark).collect()}
+    assert 1.5 < edf["s(age)"] < 9
+    assert edf["re(month)"] < 4 < edf["re(site)"] < 12      # months carry no signal
+    found = [terms[f"re(site)={i}"].estimate for i in range(12)]
+    assert np.corrcoef(found, site_effect)[0, 1] > 0.95
+    scored = fit.predict(df).select("eta", "link").toPandas()
+    assert np.corrcoef(scored.eta, scored.link)[0, 1] > 0.97
+    # at the optimum of a model with an intercept, fitted and observed totals agree
+    p = 1 / (1 + np.exp(-scored.link))
+    assert p.sum() == pytest.approx(df.agg(F.sum("y")).first()[0], rel=1e-4)
+
+
+def test_predict_missing_and_unseen(spark, survey):
+    df, _ = survey
+    fit = gam.gam_logit(df, "y", factors=["sex"], smooth=["age"])
+    new = spark.createDataFrame([("F", 40), ("X", 40), (None, 40), ("M", None)],
+                                "sex string, age int")
+    got = [r.link is None for r in fit.predict(new).collect()]
+    assert got == [False, True, True, True]
+
+
+def test_incomplete_rows_do_not_matter(spark, survey):
+    df, _ = survey
+    holes = df.select("y", "flag", "age").unionByName(
+        spark.createDataFrame([(1, None, 30), (0, 1, None)], "y int, flag int, age int"))
+    a = gam.gam_logit(df, "y", linear=["flag"], smooth=["age"])
+    b = gam.gam_logit(holes, "y", linear=["flag"], smooth=["age"])
+    assert np.allclose(a.beta, b.beta)
+
+
+def test_outcome_needs_both_values(spark, survey):
+    with pytest.raises(ValueError):
+        gam.gam_logit(survey[0].where("y = 1"), "y", linear=["flag"])
+
+
+# --- matching -------------------------------------------------------------------------
+
+def serial(units, caliper=None):
+    """Highest treated first, nearest free control; ties to the lower score."""
+    free = sorted(s for s, t in units if t == 0)
+    pairs = []
+    for s in sorted((s for s, t in units if t == 1), reverse=True):
+        best = min(free, key=lambda c: (abs(c - s), c), default=None)
+        if best is None or (caliper is not None and abs(best - s) > caliper):
+            continue
+        free.remove(best)
+        pairs.append((s, best))
+    return sorted(pairs)
+
+
+def flows_to_pairs(flows):
+    return sorted((f[0], f[2]) for f in flows for _ in range(f[4]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 1)), max_size=60),
+       st.none() | st.integers(0, 10))
+def test_walk_equals_serial_matching(units, reach):
+    cells = sorted({s for s, _ in units})
+    count = lambda arm: [sum(1 for s, t in units if s == c and t == arm) for c in cells]
+    flows = matching.pair_cells(cells, count(1), count(0), reach)
+    assert flows_to_pairs(flows) == serial(units, reach)
+
+
+def scored(spark, rows):
+    return spark.createDataFrame([(i, float(s), t) for i, (s, t) in enumerate(rows)],
+                                 "person_id long, score double, target int")
+
+
+def pairs_of(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.subclass, {})[r.target] = r.distance
+        assert r.weights == 1.0
+    assert all(len(p) == 2 for p in got.values())
+    return sorted((p[1], p[0]) for p in got.values())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_match_equals_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    units = [(int(s), int(t)) for s, t in zip(rng.integers(0, 1000, 200), rng.random(200) < 0.4)]
+    units += [(0, 0), (1000, 0)]
+    got = matching.propensity_match(scored(spark, units), "score", resolution=1001)
+    assert got.select("person_id").distinct().count() == got.count()
+    assert pairs_of(got) == serial(units)
+
+
+def test_match_hot_score(spark):
+    # one score holds most units: the cell is split by rank blocks
+    units = [(5, 1)] * 700 + [(5, 0)] * 600 + [(6, 0)] * 50 + [(9, 0)] * 100 + [(0, 1)] * 30
+    got = matching.propensity_match(scored(spark, units), "score")
+    assert got.count() == 2 * 730
+    assert pairs_of(got) == serial(units)
+
+
+def test_match_caliper_and_more_treated(spark):
+    units = [(10, 1), (10.3, 1), (11, 1), (10.1, 0), (14, 0), (0, 0)]
+    got = matching.propensity_match(scored(spark, units), "score", caliper=0.5)
+    assert all(abs(a - b) <= 0.5 for a, b in pairs_of(got)) and got.count() == 2
+    assert matching.propensity_match(scored(spark, units), "score", caliper=0.01).count() == 0
+    few = [(1, 1), (2, 1), (3, 1), (2.5, 0)]
+    assert pairs_of(matching.propensity_match(scored(spark, few), "score")) == [(3.0, 2.5)]
+
+
+def test_match_exact_and_missing(spark):
+    df = spark.createDataFrame(
+        [(1, 0.5, 1, "a"), (2, 0.5, 0, "b"), (3, 0.9, 0, "a"), (4, 0.5, 1, None), (5, 0.5, 0, None),
+         (6, None, 1, "a"), (7, 0.5, None, "a")],
+        "person_id int, score double, target int, g string")
+    got = matching.propensity_match(df, "score", exact=["g"])
+    assert sorted(r.person_id for r in got.collect()) == [1, 3, 4, 5]
+    same = matching.propensity_match(df.where("score = 0.5"), "score")
+    assert same.count() == 4
+
+
+def test_complete_cases(spark):
+    df = spark.createDataFrame([(1, 2, None), (1, None, 3)], "a int, b int, c int")
+    assert matching.complete_cases(df, ["a", "b"]).collect() == [(1, 2)]
+
+
+# --- imputation --------------------------------------------------------------------------
+
+def test_impute_mean(spark, rows):
+    df = spark.createDataFrame([(1, 1.0, None), (2, None, None), (3, 3.0, None)],
+                               "person_id int, a double, b double")
+    assert rows(impute.impute_mean(df, ["a", "b"])) == [(1, 1.0, None), (2, 2.0, None),
+                                                        (3, 3.0, None)]
+
+
+def test_nearest_cells():
+    grid = pd.DataFrame({"imputation": 1, "_cell": [0, 3, 4, 9], "have": [1, 0, 3, 2],
+                         "need": [0, 1, 1, 0]})
+    got = impute.nearest_cells(grid, 5)
+    assert got.loc[got["_cell"] == 3, "_from"].tolist() == [4, 4, 4, 0, 9]
+    assert got.loc[got["_cell"] == 4, "_from"].tolist() == [4, 4, 4, 0, 9]
+    few = impute.nearest_cells(grid.assign(have=[1, 0, 0, 0]), 3)
+    assert few["_from"].unique().tolist() == [0]
+
+
+@pytest.fixture(scope="module")
+def gappy(spark):
+    rng = np.random.default_rng(5)
+    n = 1500
+    x = rng.normal(size=n)
+    g = rng.choice(["a", "b", "c"], n)
+    a = 2 + 3 * x + (g == "b") * 2 + rng.normal(0, 0.5, n)
+    b = 1 - a + rng.normal(0, 0.5, n)
+    c = np.where(a > 3, "hi", np.where(rng.random(n) < 0.5, "lo", "mid"))
+    rows = [(i, float(x[i]), str(g[i]), None if rng.random() < 0.2 else float(a[i]),
+             None if rng.random() < 0.2 else float(b[i]),
+             None if rng.random() < 0.1 else str(c[i]), float(a[i])) for i in range(n)]
+    return spark.createDataFrame(
+        rows, "person_id long, x double, g string, a double, b double, c string, truth double")
+
+
+def test_chained_numeric(spark, gappy):
+    run = lambda: impute.impute_chained(
+        gappy, ["a", "b"], predictors=["x"], factors=["g"], m=2, iters=2)
+    got = run()
+    assert got.count() == 2 * 1500 and got.where("a is null or b is null").count() == 0
+    # observed values never change
+    both = got.join(gappy.select("person_id", F.col("a").alias("a0"), F.col("b").alias("b0"),
+                                 "truth"), "person_id")
+    assert both.where("a0 is not null and a <> a0 or b0 is not null and b <> b0").count() == 0
+    # every filled value was observed somewhere
+    assert got.select("a").distinct().join(gappy, "a", "left_anti").count() == 0
+    filled = both.where("a0 is null")
+    assert filled.select(F.corr("a", "truth")).first()[0] > 0.95
+    copies = filled.groupBy("person_id").agg(F.count_distinct("a").alias("d"))
+    assert copies.where("d = 2").count() > 0          # the copies differ
+    cols = ["imputation", "person_id", "a", "b"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(
+        map(tuple, run().select(cols).collect()))      # and repeat exactly
+
+
+def test_chained_is_the_same_at_any_partitioning(spark, gappy):
+    run = lambda df: sorted(map(tuple, impute.impute_chained(
+        df, ["a"], predictors=["x"], m=2, iters=1).select("imputation", "person_id",
+                                                          F.round("a", 6)).collect()))
+    assert run(gappy.repartition(1)) == run(gappy.repartition(7))
+
+
+def test_chained_categorical(spark, gappy):
+    got = impute.impute_chained(gappy, ["a"], predictors=["x"], categorical=["c"], m=2, iters=1)
+    assert got.where("c is null or a is null").count() == 0
+    new = got.join(gappy.where("c is null").select("person_id", "truth"), "person_id")
+    assert new.where("truth > 4").select(F.avg((F.col("c") == "hi").cast("int"))).first()[0] > 0.9
+
+
+def test_chained_without_gaps_or_values(spark, gappy):
+    full = gappy.dropna()
+    got = impute.impute_chained(full, ["a"], predictors=["x"], m=3)
+    assert got.count() == 3 * full.count()
+    with pytest.raises(ValueError):
+        impute.impute_chained(gappy.withColumn("a", F.lit(None).cast("double")), ["a"])
+
+
+# --- whole analyses -----------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def stays(spark):
+    rng = np.random.default_rng(8)
+    n = 1500
+    age, cci = rng.integers(20, 90, n), rng.integers(0, 10, n)
+    p = 1 / (1 + np.exp(-(-2 + 0.35 * cci)))
+    target = (rng.random(n) < p).astype(int)
+    death = (rng.random(n) < 0.1 + 0.05 * (cci > 5) + 0.2 * target).astype(int)
+    pdf = pd.DataFrame({
+        "person_id": np.arange(n), "target": target, "age": age, "CCI": cci,
+        "month": rng.integers(0, 5, n), "data_partner_id": rng.integers(0, 6, n),
+        "race_ethnicity": rng.choice(["x", "y"], n), "gender_concept_name": "F",
+        "hospital_mortality": death, **{
+            c: rng.integers(0, 2, n) for c in (*effects.EARLY, "obesity", "smoker", "long_imv",
+                                               "late_antibiotic_exposure", "late_cdad")},
+        "wbc": np.where(rng.random(n) < 0.2, None, rng.normal(9, 2, n)).astype(float),
+        "bmi": np.where(rng.random(n) < 0.2, None, rng.normal(28, 4, n)).astype(float)})
+    return spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), schema=", ".join(
+        f"{c} {'double' if c in ('wbc', 'bmi') else 'string' if pdf[c].dtype == object or str(pdf[c].dtype).startswith('str') else 'long'}"
+        for c in pdf.columns)).cache()
+
+
+def test_matched_and_weighted_effects(spark, stays):
+    crude = stays.where("hospital_mortality = 1").groupBy("target").count().count()
+    assert crude == 2
+    matched = {r.outcome: r for r in effects.matched_effects(stays).collect()}
+    assert matched["hospital_mortality"].ci_low > 1.0       # a real effect
+    assert matched["late_cdad"].ci_low < 1.0 < matched["late_cdad"].ci_high
+    weighted = {r.outcome: r for r in effects.weighted_effects(stays).collect()}
+    assert weighted["hospital_mortality"].odds_ratio > 1.5
+
+
+@pytest.mark.parametrize("method", ["mean", "chained"])
+def test_imputed_effects(stays, method):
+    pooled, balance = effects.imputed_matched_effects(stays, method, m=2, iters=1)
+    got = {r.outcome: r for r in pooled.collect()}
+    assert set(got) == set(effects.OUTCOMES)
+    one = got["hospital_mortality"]
+    assert one.estimate > 0 and one.ci_low < one.estimate < one.ci_high
+    assert one.m == (1 if method == "mean" else 2)
+    smd = {r.variable: r.smd for r in balance.collect()}
+    before = {r.variable: r.smd for r in balance_table(stays, "target", ["CCI"]).collect()}
+    assert 0 <= smd["CCI"] < before["CCI"] and math.isfinite(smd["wbc"])
