@@ -94,9 +94,10 @@ def value_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     neither a group nor its distinct values sit in one task.  The counts are
     written once: three passes read them, and the source only one.
     """
-    freq = checkpoint(df.where(F.col(value).isNotNull())
-            .groupBy(*by, F.col(value).cast("double").alias("value"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    freq = checkpoint(
+        df.where(F.col(value).isNotNull())
+        .groupBy(*by, F.col(value).cast("double").alias("value"))
+        .agg(F.count(F.lit(1)).alias("n")))
     keyed = freq if by else freq.withColumn("_all", F.lit(0))
     keys = list(by) or ["_all"]
     cum = cumulative_counts(keyed, keys, "value", ["n"], buckets)
@@ -122,5 +123,5 @@ def day_quantiles(df: DataFrame, by: Sequence[str], value: str,
     freq = (df.where(F.col(value).isNotNull()).groupBy(*by, value)
             .agg(F.count(F.lit(1)).alias("_n")))
     return freq.groupBy(*by).agg(
-        F.sum("_n").alias("n"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"),
         *(F.percentile(value, float(p), F.col("_n")).alias(quantile_label(p)) for p in probs))

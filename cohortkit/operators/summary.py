@@ -27,13 +27,14 @@ def table1_categorical(df: DataFrame, by: str, cols: Sequence[str],
     """Per variable, level and group: rows and their share of the group's known rows.
 
     Missing values are left out, or counted as a level with ``keep_missing``.
+    Unpivoted before grouping: however many columns, the map-side table has one
+    entry per level and group, which is all that is shuffled.
     """
-    cells = df.groupBy(by, *cols).agg(F.count(F.lit(1)).alias("_n"))
-    long = cells.select(by, "_n", *(F.col(c).cast("string").alias(c) for c in cols)).unpivot(
-        [by, "_n"], list(cols), "variable", "level")
+    long = df.select(by, *(F.col(c).cast("string").alias(c) for c in cols)).unpivot(
+        [by], list(cols), "variable", "level")
     long = (long.fillna(MISSING, ["level"]) if keep_missing
             else long.where(F.col("level").isNotNull()))
-    counts = long.groupBy("variable", "level", by).agg(F.sum("_n").alias("n"))
+    counts = long.groupBy("variable", "level", by).agg(F.count(F.lit(1)).alias("n"))
     whole = F.sum("n").over(Window.partitionBy("variable", by))
     return counts.withColumn("pct", F.col("n") / whole)
 
@@ -78,17 +79,20 @@ def chi_square(df: DataFrame, by: str, cols: Sequence[str], with_p: bool = False
     Missing values are left out.  df = (levels - 1) * (groups - 1).
     """
     cells = table1_categorical(df, by, cols).drop("pct")
-    group = cells.groupBy("variable", by).agg(F.sum("n").alias("g"))
-    level = cells.groupBy("variable", "level").agg(F.sum("n").alias("l"))
-    total = group.groupBy("variable").agg(F.sum("g").alias("n_all"), F.count(by).alias("n_groups"))
-    levels = level.groupBy("variable").agg(F.count("level").alias("n_levels"))
+    over = lambda *keys: Window.partitionBy("variable", *keys)
+    # windows over the contingency table, which has one row per level and group
+    table = cells.select(
+        "variable", F.col("n").cast("double").alias("n"),
+        F.sum("n").over(over(by)).cast("double").alias("g"),
+        F.sum("n").over(over("level")).cast("double").alias("l"),
+        F.sum("n").over(over()).alias("n_all"),
+        F.size(F.collect_set(by).over(over())).alias("n_groups"),
+        F.size(F.collect_set("level").over(over())).alias("n_levels"))
     # sum (o-e)^2/e = N * (sum o^2 / (row * col) - 1): empty cells add nothing
-    ratio = F.col("n").cast("double") * F.col("n") / (F.col("g").cast("double") * F.col("l"))
-    out = (cells.join(group, ["variable", by]).join(level, ["variable", "level"])
-           .groupBy("variable").agg(F.sum(ratio).alias("_sum"))
-           .join(total, "variable").join(levels, "variable")
-           .select("variable", (F.col("n_all") * (F.col("_sum") - 1)).alias("statistic"),
-                   ((F.col("n_levels") - 1) * (F.col("n_groups") - 1)).cast("int").alias("df")))
+    out = table.groupBy("variable").agg(
+        (F.max("n_all") * (F.sum(F.col("n") * F.col("n") / (F.col("g") * F.col("l"))) - 1))
+        .alias("statistic"),
+        ((F.max("n_levels") - 1) * (F.max("n_groups") - 1)).alias("df"))
     return out.withColumn("p", chi_square_p(F.col("statistic"), F.col("df"))) if with_p else out
 
 

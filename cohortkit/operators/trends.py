@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortkit.functions.expressions import flag
 from cohortkit.functions.ordering import day_quantiles
+from cohortkit.session import checkpoint
 
 MONTH = "reporting_period"
 
@@ -86,15 +87,12 @@ def strata_month_rate(df: DataFrame, strata: Sequence[str], y: str = "target",
                       month: str = MONTH) -> DataFrame:
     """Outcome mean per month within every level of every stratum, in long form.
 
-    Counts per combination of levels first, so what is unpivoted is small.
+    Unpivoted before grouping: the map-side table holds one entry per level and
+    month, so almost nothing is shuffled.
     """
-    cells = df.groupBy(month, *strata).agg(_rows().alias("_n"), F.sum(y).alias("_y"),
-                                           F.count(y).alias("_known"))
-    long = _long(cells.select(month, "_n", "_y", "_known",
-                              *(F.col(s).cast("string").alias(s) for s in strata)),
-                 [month, "_n", "_y", "_known"], strata, "stratum", "level")
+    long = _long(df, [month, y], strata, "stratum", "level", cast="string")
     return long.groupBy("stratum", "level", month).agg(
-        F.sum("_n").alias("count"), (F.sum("_y") / F.sum("_known")).alias("avg"))
+        _rows().alias("count"), F.avg(y).alias("avg"))
 
 
 def month_prevalence(df: DataFrame, cols: Mapping[str, str], month: str = MONTH) -> DataFrame:
@@ -126,10 +124,11 @@ def top_n_lump(counts: DataFrame, n: int = 10, label: str = "drug_name", weight:
     """Counts per day with all but the ``n`` heaviest labels lumped together.
 
     Ties at the boundary are kept; a single remaining label is not lumped, and a
-    missing label is a level of its own.
+    missing label is a level of its own.  The counts (one row per day and label)
+    are written once, as four small passes read them.
     """
-    named = counts.withColumn(
-        label, F.coalesce(F.initcap(label), F.lit("(Missing)")))
+    named = checkpoint(counts.select(
+        by, F.coalesce(F.initcap(label), F.lit("(Missing)")).alias(label), weight))
     totals = named.groupBy(label).agg(F.sum(weight).alias("_w"))
     cutoff = totals.orderBy(F.desc("_w")).limit(n).agg(F.min("_w").alias("_cut"))
     heavy = totals.where(F.col("_w") >= cutoff.scalar())
@@ -155,7 +154,7 @@ def los_summary(df: DataFrame, where: Column, y: str = "total_length_of_stay") -
     known = F.col(y).isNotNull()
     pct = lambda p: F.percentile(y, p, F.col("_n"))
     return freq.agg(
-        F.sum("_n").alias("n"), pct(0.5).alias("median"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), pct(0.5).alias("median"),
         (F.sum(F.col(y) * F.col("_n")) / F.sum(F.when(known, F.col("_n")))).alias("mean"),
         pct(0.25).alias("p25"), pct(0.75).alias("p75"))
 
@@ -197,8 +196,8 @@ def calibration_bins(df: DataFrame, score: str, y: str = "target", bins: int = 1
 
     The lowest score belongs to the first bin; empty bins are absent.
     """
-    lo = df.agg(F.min(score)).scalar()
-    hi = df.agg(F.max(score)).scalar()
+    ends = df.agg(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi"))).scalar()
+    lo, hi = ends.getField("lo"), ends.getField("hi")
     step = F.try_divide((F.col(score) - lo) * bins, hi - lo)
     number = F.greatest(F.lit(1), F.ceil(F.coalesce(step, F.lit(1.0))).cast("int"))
     return (df.where(F.col(score).isNotNull())

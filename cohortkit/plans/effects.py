@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortkit.functions.expressions import month_index
+from cohortkit.functions.expressions import logistic, month_index
 from cohortkit.operators.gam import GamFit, gam_logit
 from cohortkit.operators.impute import impute_chained, impute_mean
 from cohortkit.operators.matching import complete_cases, propensity_match
@@ -59,9 +59,11 @@ def match_on_gam(df: DataFrame, smooth: Sequence[str] = ("age", "CCI"), treat: s
     used = [*EARLY, "obesity", "smoker"]
     cols = list(dict.fromkeys(["person_id", treat, "month", "race_ethnicity", *used, *smooth,
                                *keep]))
-    rows = complete_cases(df, cols)
+    # read by the fit and by the matching; also keeps long derived-column plans
+    # from being analysed again and again (constraint inference grows fast)
+    rows = checkpoint(complete_cases(df, cols))
     fit = gam_logit(rows, treat, linear=used, factors=["month", "race_ethnicity"], smooth=smooth)
-    scored = checkpoint(fit.predict(rows).withColumn("score", 1 / (1 + F.exp(-F.col("link")))))
+    scored = fit.predict(rows).withColumn("score", logistic(F.col("link")))
     return Matched(propensity_match(scored, "score", treat, caliper=caliper), fit)
 
 

@@ -7,6 +7,7 @@ Doubles are rounded so that results can be compared by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,7 +42,8 @@ def neat(df: DataFrame, digits: int = 6) -> DataFrame:
                        for c, kind in df.dtypes))
 
 
-def timeline_study(spark: SparkSession, folder: str, stored_facts: bool = False) -> Study:
+def timeline_study(spark: SparkSession, folder: str, stored_facts: bool = False,
+                   params: StudyParams = PARAMS) -> Study:
     """The study over the timeline lens.
 
     ``stored_facts`` writes the person table once, for results that join it many
@@ -58,7 +60,7 @@ def timeline_study(spark: SparkSession, folder: str, stored_facts: bool = False)
     def lookup(name: str) -> DataFrame:
         return own[name]() if name in own else lookup_table(spark, name)
 
-    return Study(source, lookup, PARAMS)
+    return Study(source, lookup, params)
 
 
 def encounter_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -355,5 +357,11 @@ def _lookup_rows(spark: SparkSession, folder: str) -> DataFrame:
                      "is_missing").agg(F.count(F.lit(1)).alias("n")))
 
 
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """The main analysis frame, end to end, without a lower limit on site size."""
+    params = replace(PARAMS, min_site_rows=0)
+    return neat(timeline_study(spark, folder, stored_facts=True, params=params).main)
+
+
 def all_queries() -> dict[str, Query]:
     return {**TIMELINE, "lookup_tables": _lookup_rows, **ENCOUNTERS}

@@ -161,7 +161,8 @@ class Study:
 
     @cached_property
     def labs(self) -> DataFrame:
-        return timeline.labs_in_stay(self.src("measurements"), self.lookup("labs"), self.base_cohort)
+        return self.keep(timeline.labs_in_stay(self.src("measurements"), self.lookup("labs"),
+                                               self.base_cohort))
 
     @cached_property
     def lab_sequence(self) -> DataFrame:
@@ -230,7 +231,8 @@ class Study:
 
     @cached_property
     def regions(self) -> DataFrame:
-        return analysis.prefix_region(self.src("zips"), self.lookup("states"), order=self.p.prefix_order)
+        return analysis.prefix_region(self.src("zips"), self.lookup("states"),
+                                      order=self.p.prefix_order)
 
     @cached_property
     def wide(self) -> DataFrame:
