@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +53,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/cohortkit-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give this package to the Python workers of the session, once.
+
+    Needed where it is not installed on the executors; they fetch the archive from the driver.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cohortkit_shipped", False):
+        return spark
+    here = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for path in sorted(here.rglob("*.py")):
+            archive.write(path, path.relative_to(here.parent))
+    name = Path(tempfile.mkdtemp(prefix="cohortkit-ship-")) / "cohortkit.zip"
+    name.write_bytes(packed.getvalue())
+    context.addPyFile(str(name))
+    context._cohortkit_shipped = True
+    return spark
