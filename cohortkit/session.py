@@ -70,6 +70,6 @@ def ship(spark: SparkSession) -> SparkSession:
             archive.write(path, path.relative_to(here.parent))
     name = Path(tempfile.mkdtemp(prefix="cohortkit-ship-")) / "cohortkit.zip"
     name.write_bytes(packed.getvalue())
-    context.addPyFile(str(name))
+    context.addPyFile(str(name.resolve()))
     context._cohortkit_shipped = True
     return spark
