@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortkit.llm import chat, langid, mixing, packing, urls
+from cohortkit.llm import chat, jaccard, langid, mixing, packing, urls
 from cohortkit.session import tune
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -59,9 +59,13 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(table(spark, folder, "pages"), RULES)
 
 
+def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_sets(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_best_fit_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_language_id, op4_url_filter,
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_language_id, op4_url_filter, op8_ngram_jaccard,
                                    op10_best_fit_pack)}
