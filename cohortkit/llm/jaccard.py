@@ -18,7 +18,6 @@ FREQUENT = 1 << 17
 #: What checking a candidate costs against reading one posting.
 CHECK_COST = 4
 LEVELS = 3
-STAR_ROUNDS = 2
 
 SET_SCHEMA = "k1 long, k2 long, doc_id long, n long, s1 long, s2 long, tokens array<long>"
 
@@ -107,13 +106,9 @@ def postings(reps: DataFrame, num: int, den: int) -> DataFrame:
                       .select("token", "uid", "n", "layer", "level"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Of the candidate pairs (a, b), those whose sets really are similar enough.
-
-    Whole texts come back by content key.  Each pair's second text travels to its first, in an
-    order in which a task holds one first set and one batch; no pair's texts are both copied.
-    """
-    pairs = checkpoint(pairs)
+def with_texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, text) sorted by a within partitions: a's own text first, with a null b, then the
+    texts of its partners.  Whole texts come back by content key; no pair copies both of its texts."""
     wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
     texts = checkpoint(docs.select(*row_key("doc_id", "text"), "text")
                        .join(sets.select("uid", "k1", "k2").join(wanted, "uid"), ["k1", "k2"])
@@ -121,7 +116,12 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num:
     firsts = texts.join(pairs.select(F.col("a").alias("uid")).distinct(), "uid").select(
         F.col("uid").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     seconds = pairs.join(texts, pairs["b"] == texts["uid"]).select("a", "b", "text")
+    return (firsts.unionByName(seconds).repartition("a")
+            .sortWithinPartitions("a", F.asc_nulls_first("b")))
+
 
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Of the candidate pairs (a, b), those whose sets really are similar enough."""
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, own = None, None
         for batch in batches:
@@ -136,9 +136,102 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num:
                     good.append((a, int(b)))
             yield pd.DataFrame(good, columns=["a", "b"], dtype="int64")
 
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.rdd.getNumPartitions())
-    return checkpoint(firsts.unionByName(seconds).repartition(parts, "a")
-                      .sortWithinPartitions("a", F.asc_nulls_first("b")).mapInPandas(check, "a long, b long"))
+    return checkpoint(with_texts(checkpoint(pairs), sets, docs).mapInPandas(check, "a long, b long"))
+
+
+def differences(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(g, uid, n, gn, lost, added) for pairs (centre a, member b) that share over half of the
+    larger set: which of the centre's sorted shingles a member lacks, and which it adds.  The
+    centre is a member without differences.  This is all one needs to compare any two members."""
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, own = None, None
+        for batch in batches:
+            out = []
+            for a, b, text in zip(batch["a"], batch["b"], batch["text"]):
+                found = shingle_set(text, size)
+                if pd.isna(b):
+                    if a != now:
+                        out.append((a, a, len(found), len(found), np.zeros(0, np.int32), np.zeros(0, np.int64)))
+                    now, own = a, found
+                    continue
+                at = np.minimum(np.searchsorted(found, own), len(found) - 1)
+                lost = np.flatnonzero(found[at] != own)
+                if a == now and 2 * (len(own) - len(lost)) >= max(len(own), len(found)):
+                    added = np.setdiff1d(found, own, assume_unique=True)
+                    out.append((a, int(b), len(found), len(own), lost.astype(np.int32), added.view(np.int64)))
+            yield pd.DataFrame(out, columns=["g", "uid", "n", "gn", "lost", "added"])
+
+    return checkpoint(with_texts(checkpoint(pairs), sets, docs).mapInPandas(
+        compare, "g long, uid long, n long, gn long, lost array<int>, added array<long>"))
+
+
+def linked_in_group(rows: list[tuple], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """(uid, root) over the links among members (uid, n, gn, lost, added) of one group.
+
+    |x & y| = |c| - |lost x| - |lost y| + |lost x & lost y| + |added x & added y|, for all
+    pairs at once by products of 0/1 columns, a stretch of columns at a time.
+    """
+    m, gn = len(rows), rows[0][2]
+    lost = [np.asarray(r[3], np.int64) for r in rows]
+    added = [np.asarray(r[4], np.int64) for r in rows]
+    names, code = np.unique(np.concatenate(added), return_inverse=True)
+    column = np.concatenate([np.concatenate(lost), gn + code])
+    row = np.concatenate([np.repeat(np.arange(m), [len(x) for x in lost]), np.repeat(np.arange(m), [len(x) for x in added])])
+    often = np.bincount(column, minlength=gn + len(names)) > 1
+    row, column = row[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
+    both = np.zeros((m, m), np.float32)
+    for start in range(0, int(often.sum()), 4096):
+        here = (column >= start) & (column < start + 4096)
+        block = np.zeros((m, 4096), np.float32)
+        block[row[here], column[here] - start] = 1
+        both += block @ block.T
+    n = np.array([r[1] for r in rows], np.int64)
+    kept = gn - np.array([len(x) for x in lost], np.int64)
+    both = kept[:, None] + kept[None, :] - gn + both.astype(np.int64)
+    link = den * both >= num * (n[:, None] + n[None, :] - both)
+    uid = np.array([r[0] for r in rows], np.int64)
+    yield from zip(uid.tolist(), roots(link, uid).tolist())
+
+
+def roots(link: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The smallest label that each row of a symmetric link matrix reaches."""
+    link = link | np.eye(len(link), dtype=bool)
+    highest = np.iinfo(np.int64).max
+    while True:
+        least = np.where(link, label[None, :], highest).min(axis=1)
+        if (least == label).all():
+            return label
+        label = least
+
+
+def group_links(diffs: DataFrame, num: int, den: int, block: int = 1024) -> DataFrame:
+    """(uid, root) of all links between members of one group, each pair compared once.
+
+    A group over ``block`` members is dealt out by hash to blocks, and pairs of blocks go to
+    tasks; what a task returns is a row per member, not per pair.
+    """
+    count = diffs.groupBy("g").agg(F.count("*").alias("m")).filter("m > 1")
+    dealt = (diffs.join(count, "g").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+             .withColumn("b", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+             .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}))
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for batch in batches:
+            out = []
+            for g, i, j, *row in zip(*[batch[c] for c in ("g", "i", "j", "uid", "n", "gn", "lost", "added")]):
+                if (g, i, j) != key:
+                    if len(held) > 1:
+                        out += linked_in_group(held, num, den)
+                    key, held = (g, i, j), []
+                held.append(row)
+            yield pd.DataFrame(out, columns=["uid", "root"], dtype="int64")
+        yield pd.DataFrame(list(linked_in_group(held, num, den)) if len(held) > 1 else [], columns=["uid", "root"], dtype="int64")
+
+    return checkpoint(dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "uid")
+                      .select("g", "i", "j", "uid", "n", "gn", "lost", "added")
+                      .mapInPandas(link, "uid long, root long").filter("uid <> root").distinct())
 
 
 def near_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -149,9 +242,11 @@ def near_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     is ``kept``.  (k1, k2) name the row's content (``row_key``).
 
     Rows with equal sets are one node.  Candidates come from shared prefix tokens.  As only
-    components are asked for, pairs inside a component need no check: first every set is checked
-    against one centre per posting list, and sets that link are merged; then all candidates
-    between different components are, by the prefix rule.  No posting list is paired with itself.
+    components are asked for, no pair inside a component needs a check.  First every set joins
+    the group of a centre (the first set of a posting list) with which it shares much; all
+    pairs of a group are compared by their differences from its centre.  Then come the
+    candidates between components and between groups, by the prefix rule; so a large group of
+    near copies is never written out as pairs.
 
     Null or empty texts have no shingles and link with nothing; a text of fewer words is one
     shingle; ids may be null (a component of null ids only has a null id) or repeat; other
@@ -161,36 +256,34 @@ def near_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     full = sets.filter("n > 0")
     reps = full.groupBy("s1", "s2", "n").agg(F.min("uid").alias("uid"))
     lists = postings(full.join(reps.select("uid"), "uid", "left_semi"), num, den)
-    links = None
-    labels = None
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    for turn in range(STAR_ROUNDS + 1):
-        marked = lists if labels is None else lists.join(labels, "uid", "left")
-        marked = marked.withColumn("comp", F.col("uid") if labels is None else F.coalesce("root", "uid"))
-        if turn < STAR_ROUNDS:
-            key = F.col("uid") if turn == 0 else F.xxhash64(F.lit(turn), "comp", "uid")
-            centre = marked.groupBy("token").agg(F.min(F.struct(key.alias("o"), "uid", "n", "comp")).alias("c"))
-            pairs = (marked.join(centre, "token").filter("comp <> c.comp")
-                     .select(F.col("c.uid").alias("a"), F.col("uid").alias("b"), F.col("c.n").alias("na"),
-                             F.col("n").alias("nb"))
-                     .filter(den * small >= num * large).select("a", "b").distinct())
-        else:
-            per = marked.groupBy("token", "comp").agg(F.count("*").alias("m"))
-            major = per.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("c"), F.count("*").alias("comps"))
-            split = marked.join(major.filter("comps > 1"), "token").withColumn("minor", F.col("comp") != F.col("c.comp"))
-            split = checkpoint(split.select("token", "uid", "n", "layer", "level", "comp", "minor"))
-            left = split.filter("minor").select("token", F.col("uid").alias("a"), F.col("n").alias("na"), F.col(
-                "layer").alias("xa"), F.col("level").alias("la"), F.col("comp").alias("ca"))
-            right = split.select("token", F.col("uid").alias("b"), F.col("n").alias("nb"), F.col(
-                "layer").alias("xb"), F.col("level").alias("lb"), F.col("comp").alias("cb"), "minor")
-            pairs = (left.join(right, "token")
-                     .filter("ca <> cb AND (NOT minor OR a < b) AND greatest(xa, xb) <= least(la, lb)")
-                     .filter(den * small >= num * large)
-                     .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("la", "lb")).alias("need"))
-                     .filter("shared >= need").select("a", "b"))
-        found = verified(pairs, sets, docs, size, num, den)
-        links = found if links is None else links.unionByName(found)
-        labels = checkpoint(components(links).toDF("uid", "root"))
+    centre = lists.groupBy("token").agg(F.min("uid").alias("a"))
+    stars = (lists.join(centre, "token").filter("uid <> a").groupBy("uid", "a").agg(F.count("*").alias("shared"))
+             .groupBy("uid").agg(F.max("shared").alias("most"), F.collect_list(F.struct("shared", "a")).alias("c"))
+             .select(F.array_min(F.transform(F.filter("c", lambda x: 4 * x.shared >= F.col("most")),
+                                             lambda x: x.a)).alias("a"), F.col("uid").alias("b")))
+    diffs = differences(stars, sets, docs, size)
+    grouped = group_links(diffs, num, den)
+    labels = checkpoint(components(grouped).toDF("uid", "root"))
+    groups = diffs.filter("uid <> g").select("uid", "g")
+
+    marked = (lists.join(labels, "uid", "left").join(groups, "uid", "left")
+              .withColumns({"comp": F.coalesce("root", "uid"), "g": F.coalesce("g", "uid")})
+              .withColumn("class", F.col("g")))
+    per = marked.groupBy("token", "class").agg(F.count("*").alias("m"))
+    major = per.groupBy("token").agg(F.max(F.struct("m", "class")).alias("c"), F.count("*").alias("classes"))
+    split = checkpoint(marked.join(major.filter("classes > 1"), "token").select(
+        "token", "uid", "n", "layer", "level", "comp", "g", (F.col("class") != F.col("c.class")).alias("minor")))
+    left = split.filter("minor").select("token", *[F.col(c).alias(c + "a") for c in ("uid", "n", "layer", "level", "comp", "g")])
+    right = split.select("token", "minor", *[F.col(c).alias(c + "b") for c in ("uid", "n", "layer", "level", "comp", "g")])
+    pairs = (left.join(right, "token")
+             .filter("compa <> compb AND ga <> gb AND (NOT minor OR uida < uidb)")
+             .filter("greatest(layera, layerb) <= least(levela, levelb)")
+             .filter(den * small >= num * large)
+             .groupBy("uida", "uidb").agg(F.count("*").alias("shared"), F.first(F.least("levela", "levelb")).alias("need"))
+             .filter("shared >= need").select(F.col("uida").alias("a"), F.col("uidb").alias("b")))
+    links = grouped.toDF("a", "b").unionByName(verified(pairs, sets, docs, size, num, den))
+    labels = checkpoint(components(links).toDF("uid", "root"))
     alike = full.select("uid", "s1", "s2", "n", "doc_id").join(
         reps.select("s1", "s2", "n", F.col("uid").alias("rep")), ["s1", "s2", "n"])
     rooted = alike.join(labels.select(F.col("uid").alias("rep"), "root"), "rep", "left").select(
