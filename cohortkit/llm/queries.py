@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortkit.llm import chat, jaccard, langid, mixing, packing, urls
+from cohortkit.llm import chat, jaccard, langid, mixing, packing, paragraphs, urls
 from cohortkit.session import tune
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -63,9 +63,15 @@ def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_sets(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = paragraphs.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_paragraphs", "n_removed", "words_removed",
+                      F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_best_fit_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_language_id, op4_url_filter, op8_ngram_jaccard,
-                                   op10_best_fit_pack)}
+                                   op9_paragraph_dedup,                                   op10_best_fit_pack)}
