@@ -46,8 +46,8 @@ UNIT_SCHEMA = ("k1 long, k2 long, doc_id long, idx int, words int, s1 long, s2 l
 
 class Paragraphs:
     """A whole text cut to paragraphs: at line ends, and after every sentence whose last two
-    words hash to an even number.  The cuts depend on the words around them only, so a passage
-    is cut alike wherever it stands, also in the middle of a line."""
+    words hash to an even number, if it has four words.  The cuts depend on the words around
+    them only, so a passage is cut alike wherever it stands, also in the middle of a line."""
 
     @quiet
     def __init__(self, text: str | None):
@@ -63,7 +63,9 @@ class Paragraphs:
             line = np.diff(lines[self.starts], append=-1) != 0
             before = np.r_[np.uint64(0), self.hashes[:-1]]
             even = scramble(self.hashes + np.uint64(3) * before) & np.uint64(1) == 0
-            last = np.flatnonzero(line | (_STOP[data[self.ends - 1]] & even))
+            stop = _STOP[data[self.ends - 1]]
+            near = sum(np.r_[np.zeros(k, np.int8), stop][:n] for k in (1, 2, 3)) > 0
+            last = np.flatnonzero(line | (stop & ~near & even))
             self.first = np.r_[0, last[:-1] + 1]
             self.last = last
         else:
