@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortkit.llm import chat, jaccard, langid, mixing, packing, paragraphs, urls
+from cohortkit.llm import chat, jaccard, langid, mih, mixing, packing, paragraphs, urls, vectors
 from cohortkit.session import tune
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -59,6 +59,14 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(table(spark, folder, "pages"), RULES)
 
 
+def op5_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, folder, "embeddings"), 0.95)
+
+
+def op6_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return mih.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_sets(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -73,5 +81,6 @@ def op10_best_fit_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_language_id, op4_url_filter, op8_ngram_jaccard,
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_language_id, op4_url_filter,
+                                   op5_vector_dedup, op6_multi_index, op8_ngram_jaccard,
                                    op9_paragraph_dedup,                                   op10_best_fit_pack)}
