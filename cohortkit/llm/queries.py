@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortkit.llm import chat, jaccard, langid, mih, mixing, packing, paragraphs, urls, vectors
+from cohortkit.llm import chat, jaccard, langid, mih, mixing, packing, paragraphs, suffixes, urls, vectors
 from cohortkit.session import tune
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -67,6 +67,10 @@ def op6_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return mih.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op7_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_sets(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -82,5 +86,6 @@ def op10_best_fit_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_language_id, op4_url_filter,
-                                   op5_vector_dedup, op6_multi_index, op8_ngram_jaccard,
+                                   op5_vector_dedup, op6_multi_index, op7_suffix_array,
+                                   op8_ngram_jaccard,
                                    op9_paragraph_dedup,                                   op10_best_fit_pack)}
