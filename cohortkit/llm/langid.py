@@ -53,13 +53,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def train(counts: np.ndarray, y: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 6, rate: float = 0.5,
           risk: float = 0.01, seed: int = 0) -> LanguageModel:
-    """Stochastic gradient descent over rows of averaged subword counts.
+    """Stochastic gradient descent over rows of subword counts (float; averaged in place).
 
     A fifth of the rows are kept back: they set the temperature that makes the probabilities
     most likely, and the least threshold at which the accepted ones err at most at ``risk``.
     """
     rng = np.random.default_rng(seed)
-    x = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    x = counts
+    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
     back = np.zeros(len(x), bool)
     back[rng.permutation(len(x))[:len(x) // 5]] = True
     k = len(labels)
@@ -96,7 +97,7 @@ def train(counts: np.ndarray, y: np.ndarray, labels: list[str], dim: int = 16, e
     return LanguageModel(labels, table, bias, temperature, threshold)
 
 
-def fit_languages(docs: DataFrame, usable: Column, rows_per_label: int = 1500, most_rows: int = 12_000,
+def fit_languages(docs: DataFrame, usable: Column, rows_per_label: int = 1000, most_rows: int = 6000,
                   buckets: int = 1 << 12, seed: int = 0) -> LanguageModel | None:
     """Learn from ``text`` and ``lang`` of the rows where ``usable`` holds; null without any.
 
@@ -117,19 +118,23 @@ def fit_languages(docs: DataFrame, usable: Column, rows_per_label: int = 1500, m
         for batch in batches:
             found = [subword_counts(t, buckets) for t in batch["text"]]
             at = [np.flatnonzero(c) for c in found]
-            yield pd.DataFrame({"h": batch["h"], "lang": batch["lang"], "at": at, "n": [c[a] for c, a in zip(found, at)]})
+            yield pd.DataFrame({"h": batch["h"], "lang": batch["lang"],
+                                "at": [a.astype(np.int32).tobytes() for a in at],
+                                "n": [c[a].astype(np.int32).tobytes() for c, a in zip(found, at)]})
 
     drawn = (rows.select("text", "lang", u.alias("u"), F.xxhash64("text", "doc_id").alias("h"))
-             .join(F.broadcast(share), F.col("lang") == F.col("l")).filter("u < share").limit(2 * most_rows)
-             .select("h", "text", "lang").mapInPandas(count, "h long, lang string, at array<int>, n array<int>"))
-    sample = sorted(drawn.collect(), key=lambda r: (r["h"], r["lang"]))
-    labels = sorted({r["lang"] for r in sample})
+             .join(F.broadcast(share), F.col("lang") == F.col("l")).filter("u < share")
+             .select("h", "text", "lang").mapInPandas(count, "h long, lang string, at binary, n binary")
+             .limit(2 * most_rows))
+    sample = drawn.toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+    langs = sample["lang"].to_pylist()
+    labels = sorted(set(langs))
     if not labels:
         return None
-    x = np.zeros((len(sample), buckets), np.float32)
-    for i, r in enumerate(sample):
-        x[i, r["at"]] = r["n"]
-    return train(x, np.array([labels.index(r["lang"]) for r in sample]), labels, seed=seed)
+    x = np.zeros((len(langs), buckets), np.float32)
+    for i, (at, n) in enumerate(zip(sample["at"], sample["n"])):
+        x[i, np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(n.as_buffer(), np.int32)
+    return train(x, np.array([labels.index(k) for k in langs]), labels, seed=seed)
 
 
 def predict(model: LanguageModel | None, texts: pd.Series) -> pd.DataFrame:
