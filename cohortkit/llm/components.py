@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortkit.session import checkpoint
+from cohortkit.llm.store import discard, settle
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     partial aggregates joined back, so that a hub's edges can be split over tasks.
     """
     u, v = edges.columns
-    kept = checkpoint(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b"))
+    kept = settle(edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b"))
                       .filter(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col("a") != F.col("b")))
                       .distinct())
     before = _print(kept)
@@ -36,9 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = (ends.filter("y > x").join(least, "x")
                  .select(F.col("y").alias("a"), F.col("m").alias("b")).filter("a != b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        kept = checkpoint(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last = kept
+        kept = settle(large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                           .filter("a != b")
                           .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        discard(last)
         after = _print(kept)
         if after == before:
             break

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortkit.llm.components import components
+from cohortkit.llm.store import discard, settle
 from cohortkit.llm.text import lower_words, shingle_hashes
-from cohortkit.session import checkpoint
 
 #: At most so many of the most frequent shingles are ordered by frequency.  Any order gives
 #: the same links; this one keeps shared boilerplate out of the prefixes.
@@ -79,7 +79,7 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 "tokens": [prefix(f).view(np.int64) for f in found]})
 
     keyed = docs.select(*row_key("doc_id", "text"), "doc_id", "text")
-    return checkpoint(keyed.mapInPandas(sets, SET_SCHEMA).withColumn("uid", F.monotonically_increasing_id()))
+    return settle(keyed.mapInPandas(sets, SET_SCHEMA).withColumn("uid", F.monotonically_increasing_id()))
 
 
 def postings(reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -93,7 +93,7 @@ def postings(reps: DataFrame, num: int, den: int) -> DataFrame:
     every = (reps.select("uid", "n", F.posexplode("tokens").alias("pos", "token"))
              .withColumn("layer", F.greatest(F.lit(1), F.col("pos") - base + 2)))
     df = every.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = checkpoint(every.join(df, "token").select("token", "uid", "n", "layer", "df"))
+    shared = settle(every.join(df, "token").select("token", "uid", "n", "layer", "df"))
     reads = [F.sum(F.when(F.col("layer") <= l, F.col("df"))) for l in range(1, LEVELS + 1)]
     costs = [F.coalesce(r, F.lit(0)) * (1 + CHECK_COST / l) for l, r in enumerate(reads, 1)]
     chosen = shared.groupBy("uid").agg(F.first("n").alias("n"), *[c.alias(f"c{l}") for l, c in enumerate(costs, 1)])
@@ -102,22 +102,27 @@ def postings(reps: DataFrame, num: int, den: int) -> DataFrame:
         lower = F.col(f"c{l}") < F.least(*[F.col(f"c{m}") for m in range(1, LEVELS + 1) if m != l])
         level = F.when(lower & (F.ceil(F.col("n") * F.lit(num) / F.lit(den)) >= l), F.lit(l)).otherwise(level)
     levels = chosen.select("uid", level.alias("level"))
-    return checkpoint(shared.join(levels, "uid").filter("layer <= level")
-                      .select("token", "uid", "n", "layer", "level"))
+    lists = settle(shared.join(levels, "uid").filter("layer <= level")
+                   .select("token", "uid", "n", "layer", "level"))
+    discard(shared)
+    return lists
 
 
-def with_texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, text) sorted by a within partitions: a's own text first, with a null b, then the
-    texts of its partners.  Whole texts come back by content key; no pair copies both of its texts."""
+def with_texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """Apply ``f`` to (a, b, text) sorted by a: a's own text first, with a null b, then the texts of
+    its partners.  Whole texts come back by content key; no pair copies both of its texts."""
+    pairs = settle(pairs)
     wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    texts = checkpoint(docs.select(*row_key("doc_id", "text"), "text")
-                       .join(sets.select("uid", "k1", "k2").join(wanted, "uid"), ["k1", "k2"])
-                       .select("uid", "text"))
+    texts = settle(docs.select(*row_key("doc_id", "text"), "text")
+                   .join(sets.select("uid", "k1", "k2").join(wanted, "uid"), ["k1", "k2"])
+                   .select("uid", "text"))
     firsts = texts.join(pairs.select(F.col("a").alias("uid")).distinct(), "uid").select(
         F.col("uid").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     seconds = pairs.join(texts, pairs["b"] == texts["uid"]).select("a", "b", "text")
-    return (firsts.unionByName(seconds).repartition("a")
-            .sortWithinPartitions("a", F.asc_nulls_first("b")))
+    done = settle(firsts.unionByName(seconds).repartition("a")
+                  .sortWithinPartitions("a", F.asc_nulls_first("b")).mapInPandas(f, schema))
+    discard(pairs, texts)
+    return done
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -136,7 +141,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num:
                     good.append((a, int(b)))
             yield pd.DataFrame(good, columns=["a", "b"], dtype="int64")
 
-    return checkpoint(with_texts(checkpoint(pairs), sets, docs).mapInPandas(check, "a long, b long"))
+    return with_texts(pairs, sets, docs, check, "a long, b long")
 
 
 def differences(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -161,8 +166,8 @@ def differences(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int) -
                     out.append((a, int(b), len(found), len(own), lost.astype(np.int32), added.view(np.int64)))
             yield pd.DataFrame(out, columns=["g", "uid", "n", "gn", "lost", "added"])
 
-    return checkpoint(with_texts(checkpoint(pairs), sets, docs).mapInPandas(
-        compare, "g long, uid long, n long, gn long, lost array<int>, added array<long>"))
+    return with_texts(pairs, sets, docs, compare,
+                      "g long, uid long, n long, gn long, lost array<int>, added array<long>")
 
 
 def linked_in_group(rows: list[tuple], num: int, den: int) -> Iterator[tuple[int, int]]:
@@ -229,7 +234,7 @@ def group_links(diffs: DataFrame, num: int, den: int, block: int = 1024) -> Data
             yield pd.DataFrame(out, columns=["uid", "root"], dtype="int64")
         yield pd.DataFrame(list(linked_in_group(held, num, den)) if len(held) > 1 else [], columns=["uid", "root"], dtype="int64")
 
-    return checkpoint(dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "uid")
+    return settle(dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "uid")
                       .select("g", "i", "j", "uid", "n", "gn", "lost", "added")
                       .mapInPandas(link, "uid long, root long").filter("uid <> root").distinct())
 
@@ -252,10 +257,12 @@ def near_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     shingle; ids may be null (a component of null ids only has a null id) or repeat; other
     columns are ignored; an empty table gives none.
     """
-    sets = document_sets(docs, size, num, den)
+    whole = document_sets(docs, size, num, den)
+    sets = settle(whole.drop("tokens"))
     full = sets.filter("n > 0")
-    reps = full.groupBy("s1", "s2", "n").agg(F.min("uid").alias("uid"))
-    lists = postings(full.join(reps.select("uid"), "uid", "left_semi"), num, den)
+    reps = settle(full.groupBy("s1", "s2", "n").agg(F.min("uid").alias("uid")))
+    lists = postings(whole.join(reps.select("uid"), "uid", "left_semi"), num, den)
+    discard(whole)
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
     centre = lists.groupBy("token").agg(F.min("uid").alias("a"))
     stars = (lists.join(centre, "token").filter("uid <> a").groupBy("uid", "a").agg(F.count("*").alias("shared"))
@@ -264,7 +271,7 @@ def near_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
                                              lambda x: x.a)).alias("a"), F.col("uid").alias("b")))
     diffs = differences(stars, sets, docs, size)
     grouped = group_links(diffs, num, den)
-    labels = checkpoint(components(grouped).toDF("uid", "root"))
+    labels = settle(components(grouped).toDF("uid", "root"))
     groups = diffs.filter("uid <> g").select("uid", "g")
 
     marked = (lists.join(labels, "uid", "left").join(groups, "uid", "left")
@@ -272,8 +279,9 @@ def near_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
               .withColumn("class", F.col("g")))
     per = marked.groupBy("token", "class").agg(F.count("*").alias("m"))
     major = per.groupBy("token").agg(F.max(F.struct("m", "class")).alias("c"), F.count("*").alias("classes"))
-    split = checkpoint(marked.join(major.filter("classes > 1"), "token").select(
+    split = settle(marked.join(major.filter("classes > 1"), "token").select(
         "token", "uid", "n", "layer", "level", "comp", "g", (F.col("class") != F.col("c.class")).alias("minor")))
+    discard(lists, diffs)
     left = split.filter("minor").select("token", *[F.col(c).alias(c + "a") for c in ("uid", "n", "layer", "level", "comp", "g")])
     right = split.select("token", "minor", *[F.col(c).alias(c + "b") for c in ("uid", "n", "layer", "level", "comp", "g")])
     pairs = (left.join(right, "token")
@@ -283,12 +291,13 @@ def near_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
              .groupBy("uida", "uidb").agg(F.count("*").alias("shared"), F.first(F.least("levela", "levelb")).alias("need"))
              .filter("shared >= need").select(F.col("uida").alias("a"), F.col("uidb").alias("b")))
     links = grouped.toDF("a", "b").unionByName(verified(pairs, sets, docs, size, num, den))
-    labels = checkpoint(components(links).toDF("uid", "root"))
+    discard(split)
+    labels = settle(components(links).toDF("uid", "root"))
     alike = full.select("uid", "s1", "s2", "n", "doc_id").join(
         reps.select("s1", "s2", "n", F.col("uid").alias("rep")), ["s1", "s2", "n"])
     rooted = alike.join(labels.select(F.col("uid").alias("rep"), "root"), "rep", "left").select(
         "uid", "doc_id", F.coalesce("root", "rep").alias("root"))
-    rooted = checkpoint(rooted.unionByName(sets.filter("n = 0").select("uid", "doc_id", F.col("uid").alias("root"))))
+    rooted = settle(rooted.unionByName(sets.filter("n = 0").select("uid", "doc_id", F.col("uid").alias("root"))))
     best = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(
         F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("first"))
     return (sets.select("uid", "k1", "k2", F.col("n").alias("n_shingles"))

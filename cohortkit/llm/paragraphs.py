@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortkit.llm.components import components
 from cohortkit.llm.jaccard import roots, row_key
+from cohortkit.llm.store import discard, settle
 from cohortkit.llm.text import prefix_sums, quiet, scramble, span_hashes
-from cohortkit.session import checkpoint
 
 WORDS = 5                # words of a shingle
 THRESHOLD = (4, 5)       # Jaccard similarity from which paragraphs are copies
@@ -127,7 +127,7 @@ def paragraph_table(docs: DataFrame) -> DataFrame:
                                if not parts else {"idx": "int32", "words": "int32"}).assign(
                 **{n: frame[n].to_numpy(np.uint64).view(np.int64) for n in names[5:] if parts})
 
-    return checkpoint(docs.select(*row_key("doc_id", "text"), "doc_id", "text").mapInPandas(cut, UNIT_SCHEMA))
+    return settle(docs.select(*row_key("doc_id", "text"), "doc_id", "text").mapInPandas(cut, UNIT_SCHEMA))
 
 
 def alike(candidates: DataFrame, docs: DataFrame, block: int = 512) -> DataFrame:
@@ -185,7 +185,7 @@ def alike(candidates: DataFrame, docs: DataFrame, block: int = 512) -> DataFrame
             yield pd.DataFrame(out, columns=["s1", "r1"], dtype="int64")
         yield pd.DataFrame(linked(held) if len(held) > 1 else [], columns=["s1", "r1"], dtype="int64")
 
-    return checkpoint(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return settle(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
                       .mapInPandas(link, "s1 long, r1 long").distinct())
 
 
@@ -205,17 +205,19 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     keys = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x <> y").select("key")
     met = units.select("k1", "k2", "idx", "s1", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"))
     met = met.join(keys, "key").groupBy("key", "s1").agg(F.min(F.struct("k1", "k2", "idx")).alias("u"))
-    candidates = checkpoint(met.select("key", "s1", "u.*"))
-    near = checkpoint(components(alike(candidates, docs)).toDF("s1", "root"))
+    candidates = settle(met.select("key", "s1", "u.*"))
+    near = settle(components(alike(candidates, docs)).toDF("s1", "root"))
     flagged = exact.select("s1").unionByName(near.select("s1")).distinct()
     members = (units.select("k1", "k2", "doc_id", "idx", "s1").join(flagged, "s1").join(near, "s1", "left")
                .withColumn("root", F.coalesce("root", "s1")))
-    members = checkpoint(members.drop("s1"))
+    members = settle(members.drop("s1"))
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k1", "k2", "idx")
     first = members.groupBy("root").agg(F.min(place).alias("kept"))
     copies = members.join(first, "root").filter(
         "NOT (k1 = kept.k1 AND k2 = kept.k2 AND idx = kept.idx)")
-    return checkpoint(copies.groupBy("k1", "k2").agg(F.collect_set("idx").alias("which")))
+    found = settle(copies.groupBy("k1", "k2").agg(F.collect_set("idx").alias("which")))
+    discard(units, candidates, near, members)
+    return found
 
 
 def without(text: str | None, which: np.ndarray | None) -> tuple[str | None, int, int, int]:

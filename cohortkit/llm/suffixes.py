@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -11,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cohortkit.llm.jaccard import row_key
+from cohortkit.llm.store import discard, settle
 from cohortkit.llm.text import prefix_sums, quiet, span_hashes
-from cohortkit.session import checkpoint
 
 LENGTH = 200             # bytes of a string that must not start twice
 ANCHOR = 100             # bytes hashed to choose a string's shard
@@ -220,16 +219,7 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Store a table, and let Spark drop the shuffle files behind it now, not at its next
-    collection of garbage."""
-    done = checkpoint(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return done
-
-
-def _starts(found: DataFrame, texts: DataFrame, length: int, hot: int) -> DataFrame:
+def _starts(texts: DataFrame, length: int, hot: int) -> DataFrame:
     """(uid, first, last) runs of starts whose strings start elsewhere.
 
     Each text is cut to pieces: the starts that share an anchor, with the bytes their strings
@@ -337,7 +327,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     near = settle(rows.withColumn("d", F.coalesce("doc_id", F.lit(0))).drop("doc_id").join(
         found.withColumn("d", F.coalesce("doc_id", F.lit(0))).drop("doc_id"), ["k1", "k2", "d"])
         .select("uid", "text", "where"))
-    spans = _starts(found, near, length, hot).groupBy("uid").agg(
+    discard(found)
+    spans = _starts(near, length, hot).groupBy("uid").agg(
         F.collect_set(F.struct("first", "last")).alias("spans"))
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
