@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortkit.llm.components import components
 from cohortkit.llm.store import discard, settle
-from cohortkit.llm.text import lower_words, shingle_hashes
+from cohortkit.llm.text import lean, lower_words, shingle_hashes
 
 #: At most so many of the most frequent shingles are ordered by frequency.  Any order gives
 #: the same links; this one keeps shared boilerplate out of the prefixes.
@@ -35,6 +35,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, rank) of the shingles that repeat most within batches of documents, sorted by
     hash; the rank grows with the count.  Counted over all documents, kept to ``FREQUENT``."""
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [shingle_set(t, size) for t in batch["text"]]
@@ -66,6 +67,7 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             return np.r_[found[~sure][:length], found[often][:max(0, length - int((~sure).sum()))]]
         return found[:length]
 
+    @lean
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [shingle_set(t, size) for t in batch["text"]]
@@ -127,6 +129,7 @@ def with_texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame, f: Callable,
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Of the candidate pairs (a, b), those whose sets really are similar enough."""
+    @lean
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, own = None, None
         for batch in batches:
@@ -148,6 +151,7 @@ def differences(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int) -
     """(g, uid, n, gn, lost, added) for pairs (centre a, member b) that share over half of the
     larger set: which of the centre's sorted shingles a member lacks, and which it adds.  The
     centre is a member without differences.  This is all one needs to compare any two members."""
+    @lean
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, own = None, None
         for batch in batches:
@@ -221,6 +225,7 @@ def group_links(diffs: DataFrame, num: int, den: int, block: int = 1024) -> Data
              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}))
 
+    @lean
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
         for batch in batches:

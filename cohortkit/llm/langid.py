@@ -10,7 +10,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortkit.llm.text import quiet
+from cohortkit.llm.text import lean, quiet
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -117,6 +117,7 @@ def fit_languages(docs: DataFrame, usable: Column, rows_per_label: int = 1000, m
     share = spark.createDataFrame([(k, float(min(1.0, each / v))) for k, v in n.items()], "l string, share double")
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 11).cast("double") / float(1 << 53)
 
+    @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [subword_counts(t, buckets) for t in batch["text"]]

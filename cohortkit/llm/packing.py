@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from cohortkit.llm.text import lean
 from cohortkit.session import checkpoint
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -49,6 +50,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> Dat
     A null text reads as empty (one id); a null doc_id stays null; repeated rows are pieces of
     their own; other columns are ignored.
     """
+    @lean
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path)
         for batch in batches:
@@ -122,6 +124,7 @@ def pack(parts: DataFrame, size: int = 2048, open_bins: int = 1 << 14, group: in
     groups = max(1, -(-parts.count() // group))
     spread = parts.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(groups)))
 
+    @lean
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins, now = None, None
         for batch in batches:

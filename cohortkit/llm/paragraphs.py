@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortkit.llm.components import components
 from cohortkit.llm.jaccard import roots, row_key
 from cohortkit.llm.store import discard, settle
-from cohortkit.llm.text import prefix_sums, quiet, scramble, span_hashes
+from cohortkit.llm.text import lean, prefix_sums, quiet, scramble, span_hashes
 
 WORDS = 5                # words of a shingle
 THRESHOLD = (4, 5)       # Jaccard similarity from which paragraphs are copies
@@ -110,6 +110,7 @@ class Paragraphs:
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
     """A row per paragraph of at least ``LEAST_WORDS`` words: its place, hashes and band keys."""
+    @lean
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
@@ -139,6 +140,7 @@ def alike(candidates: DataFrame, docs: DataFrame, block: int = 512) -> DataFrame
     num, den = THRESHOLD
     wanted = candidates.groupBy("k1", "k2").agg(F.collect_set("idx").alias("which"))
 
+    @lean
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -172,6 +174,7 @@ def alike(candidates: DataFrame, docs: DataFrame, block: int = 512) -> DataFrame
         root = roots(den * both >= num * (n[:, None] + n[None, :] - both), ids)
         return [(a, b) for a, b in zip(ids.tolist(), root.tolist()) if a != b]
 
+    @lean
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, {}
         for batch in batches:

@@ -14,7 +14,7 @@ PROBE = "</s>[INST] ok [/INST]"
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     # Arrow batches hold whole texts; a batch of a few hundred keeps a Python worker small
-    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "250")
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 

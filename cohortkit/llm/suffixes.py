@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortkit.llm.jaccard import row_key
 from cohortkit.llm.store import discard, settle
-from cohortkit.llm.text import prefix_sums, quiet, span_hashes
+from cohortkit.llm.text import lean, prefix_sums, quiet, span_hashes
 
 LENGTH = 200             # bytes of a string that must not start twice
 ANCHOR = 100             # bytes hashed to choose a string's shard
@@ -225,6 +225,7 @@ def _starts(texts: DataFrame, length: int, hot: int) -> DataFrame:
     Each text is cut to pieces: the starts that share an anchor, with the bytes their strings
     cover.  Equal pieces are one, and repeat whole; different ones of an anchor meet in a shard."""
     def pieces(with_bytes: bool):
+        @lean
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 out = []
@@ -259,6 +260,7 @@ def _starts(texts: DataFrame, length: int, hot: int) -> DataFrame:
             out += [(h, sig, int(a), int(b)) for a, b in zip(edge[::2], edge[1::2])]
         return out
 
+    @lean
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, now = [], 0, None
         columns = ["h", "sig", "a", "b"]
@@ -299,6 +301,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     Null texts are empty; matches never cross documents; ids may be null or repeat; other
     columns are ignored; an empty table gives none.
     """
+    @lean
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -331,6 +334,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     spans = _starts(near, length, hot).groupBy("uid").agg(
         F.collect_set(F.struct("first", "last")).alias("spans"))
 
+    @lean
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -70,3 +71,19 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
     starts = np.r_[0, ends[:-1] + 1]
     k = min(n, len(words))
     return span_hashes(prefix_sums(data), starts[:len(words) - k + 1], ends[k - 1:])
+
+
+def lean(f: Callable) -> Callable:
+    """For functions over a partition's batches: give memory back when the partition is done.
+
+    Python workers are used again by later tasks and would keep the most they ever held."""
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow
+
+        yield from f(batches)
+        pyarrow.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    return run

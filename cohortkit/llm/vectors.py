@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortkit.llm.components import components
 from cohortkit.llm.jaccard import roots
+from cohortkit.llm.text import lean
 from cohortkit.session import checkpoint
 
 #: A pair at the threshold meets in some bucket with this probability.
@@ -87,6 +88,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, seed: int = 0) -> Dat
     good = known.filter("ok")
     tables, bits = buckets_for(good.count(), threshold)
 
+    @lean
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
@@ -133,6 +135,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, seed: int = 0) -> Dat
         root = roots(joined, rid)
         return [(r, c, o) for r, c, o in zip(rid.tolist(), n.tolist(), root.tolist()) if c]
 
+    @lean
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, []
         columns = ["rid", "n", "root"]
