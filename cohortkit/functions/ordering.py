@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortkit.session import checkpoint
 
+#: Rows of a value range that one task sorts, on average.
+RANGE_ROWS = 1_000_000
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on same-named keys in which NULL meets NULL."""
@@ -66,10 +69,12 @@ def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, counts: Sequ
                       buckets: int = 64) -> DataFrame:
     """Per distinct value: its counts and their running totals within ``by``.
 
-    ``df`` holds one row per (by, value) with the ``counts`` columns; the output
-    adds ``cum_<count>`` including the row itself.  Raise ``buckets`` with the
-    number of distinct values: one task sorts about 1/buckets of them.
+    ``df`` holds one row per (by, value) with the ``counts`` columns, and is best
+    a written table; the output adds ``cum_<count>`` including the row itself.
+    There are at least ``buckets`` ranges, and more once a range would hold over
+    ``RANGE_ROWS`` rows, so what one task sorts does not grow with the data.
     """
+    buckets = max(buckets, math.ceil(df.count() / RANGE_ROWS))
     cut = _cut(df.withColumn(value, F.col(value).cast("double")), value, buckets)
     totals = cut.groupBy(*by, "_bucket").agg(*(F.sum(c).alias(c) for c in counts))
     offsets = _offsets(totals, by, "_bucket", counts)
@@ -81,6 +86,31 @@ def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, counts: Sequ
             .drop("_bucket", *(f"_before_{c}" for c in counts)))
 
 
+def known_number(value: str) -> Column:
+    """Neither NULL nor NaN."""
+    number = F.col(value).cast("double")
+    return number.isNotNull() & ~F.isnan(number)
+
+
+def value_cells(df: DataFrame, by: Sequence[str], value: str, most: int) -> DataFrame:
+    """(*by, value, _cell, _place): the distinct values in order, in at most ``most`` cells per ``by``.
+
+    All cells hold equally many neighbouring distinct values, and one each while those fit,
+    so an outlier takes a cell and moves no other value.  ``_place`` is the mean of the
+    cell's values.  NULL and NaN have no cell.
+    """
+    distinct = df.where(known_number(value)).groupBy(
+        *by, F.col(value).cast("double").alias(value)).agg(F.lit(1).alias("_one"))
+    keys = list(by) or ["_all"]
+    distinct = checkpoint(distinct if by else distinct.withColumn("_all", F.lit(0)))
+    totals = distinct.groupBy(*keys).agg(F.sum("_one").alias("_n"))
+    ranked = null_safe_join(cumulative_counts(distinct, keys, value, ["_one"]), totals, keys)
+    cell = F.floor((F.col("cum__one") - 1) / F.ceil(F.col("_n") / most)).cast("int")
+    cells = checkpoint(ranked.select(*by, value, cell.alias("_cell")))
+    places = cells.groupBy(*by, "_cell").agg(F.avg(value).alias("_place"))
+    return null_safe_join(cells, places, [*by, "_cell"])
+
+
 def quantile_label(prob: float) -> str:
     return f"p{round(prob * 100):02d}" if prob not in (0, 1) else f"p{round(prob * 100)}"
 
@@ -89,13 +119,13 @@ def value_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
                     buckets: int = 64) -> DataFrame:
     """Exact linearly interpolated quantiles of a column with many distinct values.
 
-    Returns by..., n, and one column per probability (p00, p25, ...).  NULLs are
-    left out; groups without a value are absent.  Works on value counts, so
-    neither a group nor its distinct values sit in one task.  The counts are
+    Returns by..., n, and one column per probability (p00, p25, ...).  NULLs and
+    NaNs are left out; groups without a value are absent.  Works on value counts,
+    so neither a group nor its distinct values sit in one task.  The counts are
     written once: three passes read them, and the source only one.
     """
     freq = checkpoint(
-        df.where(F.col(value).isNotNull())
+        df.where(known_number(value))
         .groupBy(*by, F.col(value).cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("n")))
     keyed = freq if by else freq.withColumn("_all", F.lit(0))

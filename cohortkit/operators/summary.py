@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortkit.functions.distributions import chi_square_p, normal_p
 from cohortkit.functions.expressions import flag
-from cohortkit.functions.ordering import cumulative_counts, value_quantiles
+from cohortkit.functions.ordering import cumulative_counts, known_number, null_safe_join, value_quantiles
 from cohortkit.session import checkpoint
 
 MISSING = "(Missing)"
@@ -45,14 +45,14 @@ def rank_sum(df: DataFrame, by: str, cols: Sequence[str], levels: Sequence = (0,
 
     W is the rank sum of the first group less its minimum; z carries the tie and
     continuity corrections.  Ranks come from value counts, so no task sorts a
-    whole column.
+    whole column.  NaN counts as missing.
     """
     first, second = levels
     long = df.where(F.col(by).isin(first, second)).select(
         flag(F.col(by) == first).alias("_first"),
         *(F.col(c).cast("double").alias(c) for c in cols)).unpivot(
         ["_first"], list(cols), "variable", "_value")
-    freq = checkpoint(long.where(F.col("_value").isNotNull()).groupBy("variable", "_value").agg(
+    freq = checkpoint(long.where(known_number("_value")).groupBy("variable", "_value").agg(
         F.count(F.lit(1)).alias("t"), F.sum("_first").alias("t1")))
     ranked = cumulative_counts(freq, ["variable"], "_value", ["t"], buckets)
     middle = F.col("cum_t") - F.col("t") + (F.col("t") + 1) / 2
@@ -78,21 +78,19 @@ def chi_square(df: DataFrame, by: str, cols: Sequence[str], with_p: bool = False
 
     Missing values are left out.  df = (levels - 1) * (groups - 1).
     """
+    # one row per level and group; sums by level and by group join back, so that no task
+    # holds all levels of a column
     cells = table1_categorical(df, by, cols).drop("pct")
-    over = lambda *keys: Window.partitionBy("variable", *keys)
-    # windows over the contingency table, which has one row per level and group
-    table = cells.select(
-        "variable", F.col("n").cast("double").alias("n"),
-        F.sum("n").over(over(by)).cast("double").alias("g"),
-        F.sum("n").over(over("level")).cast("double").alias("l"),
-        F.sum("n").over(over()).alias("n_all"),
-        F.size(F.collect_set(by).over(over())).alias("n_groups"),
-        F.size(F.collect_set("level").over(over())).alias("n_levels"))
+    groups = cells.groupBy("variable", by).agg(F.sum("n").alias("_g"))
+    levels = cells.groupBy("variable", "level").agg(F.sum("n").alias("_l"))
+    table = null_safe_join(null_safe_join(cells, groups, ["variable", by]), levels, ["variable", "level"])
     # sum (o-e)^2/e = N * (sum o^2 / (row * col) - 1): empty cells add nothing
-    out = table.groupBy("variable").agg(
-        (F.max("n_all") * (F.sum(F.col("n") * F.col("n") / (F.col("g") * F.col("l"))) - 1))
-        .alias("statistic"),
-        ((F.max("n_levels") - 1) * (F.max("n_groups") - 1)).alias("df"))
+    share = F.col("n") * F.col("n").cast("double") / (F.col("_g").cast("double") * F.col("_l"))
+    sizes = groups.groupBy("variable").agg(F.sum("_g").alias("n_all"), F.count(by).alias("n_groups")).join(
+        levels.groupBy("variable").agg(F.count(F.lit(1)).alias("n_levels")), "variable")
+    out = table.groupBy("variable").agg(F.sum(share).alias("_shares")).join(sizes, "variable").select(
+        "variable", (F.col("n_all") * (F.col("_shares") - 1)).alias("statistic"),
+        ((F.col("n_levels") - 1) * (F.col("n_groups") - 1)).cast("int").alias("df"))
     return out.withColumn("p", chi_square_p(F.col("statistic"), F.col("df"))) if with_p else out
 
 

@@ -104,14 +104,17 @@ def events_in_window(cohort: DataFrame, events: DataFrame, date: str, lo=None, h
 
 def windowed_event_count(cohort: DataFrame, events: DataFrame, concepts: DataFrame, concept: str,
                          date: str, lo=None, hi=None, name: str = "n", id: str = "person_id",
-                         index: str = "index_start", bounds: Sequence[str] = ()) -> DataFrame:
+                         index: str = "index_start", bounds: Sequence[str] = (),
+                         distinct: bool = False) -> DataFrame:
     """Events of the listed concepts inside the window, counted per person.
 
-    Counted per (person, date) before the join, so it moves at most one row per
-    person and date however many events a person has.
+    A concept listed k times counts k times, as in an inner join with the list;
+    with ``distinct`` it counts once.  Counted per (person, date) before the join,
+    so it moves at most one row per person and date however many events a person has.
     """
-    listed = events.join(concepts.select(F.col("concept_id").alias(concept)), concept, "left_semi")
-    daily = listed.groupBy(id, date).agg(F.count(F.lit(1)).alias("_n"))
+    times = concepts.groupBy(F.col("concept_id").alias(concept)).agg(
+        (F.lit(1) if distinct else F.count(F.lit(1))).cast("long").alias("_times"))
+    daily = events.join(times, concept).groupBy(id, date).agg(F.sum("_times").alias("_n"))
     inside = events_in_window(cohort, daily, date, lo, hi, id, index, bounds)
     return inside.groupBy(id).agg(F.sum("_n").alias(name))
 

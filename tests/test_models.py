@@ -174,6 +174,26 @@ def test_match_exact_and_missing(spark):
     assert same.count() == 4
 
 
+def test_match_outlier(spark):
+    units = [(0.4, 1), (0.5, 1), (1e6, 1), (0.4, 0), (0.5, 0), (0.6, 0), (0.61, 0)]
+    got = matching.propensity_match(scored(spark, units), "score")
+    assert pairs_of(got) == serial(units) == [(0.4, 0.4), (0.5, 0.5), (1e6, 0.61)]
+
+
+def test_match_narrow_caliper(spark):
+    units = [(0.5, 1), (0.50009, 0), (0.9, 1), (0.9002, 0), (100, 0), (float("nan"), 1)]
+    got = matching.propensity_match(scored(spark, units), "score", caliper=1e-4)
+    assert pairs_of(got) == [(0.5, 0.50009)]
+
+
+def test_match_shared_cells(spark):
+    # more distinct scores than cells: still whole pairs, each unit once
+    units = [(i / 7, i % 3 == 0) for i in range(300)]
+    got = matching.propensity_match(scored(spark, [(s, int(t)) for s, t in units]), "score", resolution=16)
+    assert got.count() == 200 == got.select("person_id").distinct().count()
+    assert all(abs(a - b) < 5 for a, b in pairs_of(got))
+
+
 def test_complete_cases(spark):
     df = spark.createDataFrame([(1, 2, None), (1, None, 3)], "a int, b int, c int")
     assert matching.complete_cases(df, ["a", "b"]).collect() == [(1, 2)]
@@ -189,8 +209,8 @@ def test_impute_mean(spark, rows):
 
 
 def test_nearest_cells():
-    grid = pd.DataFrame({"imputation": 1, "_cell": [0, 3, 4, 9], "have": [1, 0, 3, 2],
-                         "need": [0, 1, 1, 0]})
+    grid = pd.DataFrame({"imputation": 1, "_cell": [0, 3, 4, 9], "_place": [0.0, 3.0, 4.0, 9.0],
+                         "have": [1, 0, 3, 2], "need": [0, 1, 1, 0]})
     got = impute.nearest_cells(grid, 5)
     assert got.loc[got["_cell"] == 3, "_from"].tolist() == [4, 4, 4, 0, 9]
     assert got.loc[got["_cell"] == 4, "_from"].tolist() == [4, 4, 4, 0, 9]
@@ -241,6 +261,25 @@ def test_chained_is_the_same_at_any_partitioning(spark, gappy):
     assert run(gappy.repartition(1)) == run(gappy.repartition(7))
 
 
+def test_chained_outlier(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, float(x), None if i % 5 == 0 else 2 * float(x)) for i, x in enumerate(rng.uniform(0, 100, 1000))]
+    # its prediction lies far out, but it takes no part in the fit
+    df = spark.createDataFrame([*rows, (5000, 5e8, None)], "person_id long, x double, y double")
+    got = impute.impute_chained(df, ["y"], predictors=["x"], m=1)
+    off = got.where("person_id % 5 = 0 AND person_id < 5000").select(F.avg(F.abs(F.col("y") - 2 * F.col("x"))))
+    assert off.first()[0] < 3
+
+
+def test_chained_needs_complete_predictors(spark):
+    df = spark.createDataFrame([(1, 1.0, 2.0, "a"), (2, None, None, "a"), (3, 3.0, float("nan"), None)],
+                               "person_id int, x double, y double, g string")
+    with pytest.raises(ValueError, match="x must be complete: 1"):
+        impute.impute_chained(df, ["y"], predictors=["x"])
+    with pytest.raises(ValueError, match="g must be complete"):
+        impute.impute_chained(df, ["y"], factors=["g"])
+
+
 def test_chained_categorical(spark, gappy):
     got = impute.impute_chained(gappy, ["a"], predictors=["x"], categorical=["c"], m=2, iters=1)
     assert got.where("c is null or a is null").count() == 0

@@ -201,3 +201,22 @@ def test_balance(spark):
     assert {r.variable: r.smd for r in same} == {k: r.smd for k, r in got.items()}
     after = weighting.balance_table(df.where("v < 5"), "target", ["v"], reference=df).first()
     assert after.sd_treated == pytest.approx(np.std(t, ddof=1))
+
+
+def test_nan_is_missing(spark):
+    from cohortkit.operators import summary
+
+    nan = float("nan")
+    df = spark.createDataFrame([(0, 1.0), (0, nan), (0, 3.0), (1, 2.0), (1, nan), (1, None)], "g int, v double")
+    clean = df.where("NOT isnan(v)")
+    for f in (lambda d: summary.table1_continuous(d, "g", ["v"]), lambda d: summary.rank_sum(d, "g", ["v"])):
+        assert sorted(f(df).collect()) == sorted(f(clean).collect())
+
+
+def test_chi_square_counts_levels_and_groups(spark):
+    from cohortkit.operators import summary
+
+    df = spark.createDataFrame([(0, "a")] * 10 + [(0, "b")] * 20 + [(1, "a")] * 20 + [(1, "b")] * 10 + [(1, None)],
+                               "g int, v string")
+    got = summary.chi_square(df, "g", ["v"]).first()
+    assert got["df"] == 1 and abs(got["statistic"] - 60 * (2 * 100 / 900 + 2 * 400 / 900 - 1)) < 1e-9

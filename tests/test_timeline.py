@@ -135,3 +135,15 @@ def test_checks(spark, day, rows):
     assert rows(checks.check_rule_coverage(routed)) == [(0.25, 0.75)]
     assert rows(checks.check_rule_coverage(routed.limit(0))) == [(None, None)]
     assert checks.spot_check(sites, "site", 2).count() == 1
+
+
+def test_concept_listed_twice(spark):
+    from cohortkit.operators import timeline
+
+    cohort = spark.createDataFrame([(1, "2020-01-01")], "person_id int, d string").selectExpr(
+        "person_id", "date(d) AS index_start")
+    events = spark.createDataFrame([(1, 7, "2020-01-02"), (1, 8, "2020-01-02")], "person_id int, c int, d string") \
+        .selectExpr("person_id", "c", "date(d) AS day")
+    concepts = spark.createDataFrame([(7,), (7,), (8,)], "concept_id int")
+    count = lambda **k: timeline.windowed_event_count(cohort, events, concepts, "c", "day", **k).first()["n"]
+    assert count() == 3 and count(distinct=True) == 2
