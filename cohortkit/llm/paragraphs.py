@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ THRESHOLD = (4, 5)       # Jaccard similarity from which paragraphs are copies
 RECALL = 0.99            # of pairs at the threshold, that share a band
 LEAST_WORDS = 8          # shorter paragraphs are left alone
 LEAST_RUN = 20           # words that adjacent copies must have together to be removed
+CHUNK = 1 << 18          # bytes of short texts that are cut together (longer ones: alone, whole)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -44,32 +45,48 @@ UNIT_SCHEMA = ("k1 long, k2 long, doc_id long, idx int, words int, s1 long, s2 l
                + ", ".join(f"b{i} long" for i in range(BANDS)))
 
 
+def _bytes(text: str | None) -> bytes:
+    return (text if isinstance(text, str) else "").encode("utf-8", "surrogatepass")
+
+
 class Paragraphs:
-    """A whole text cut to paragraphs: at line ends, and after every sentence whose last two
+    """Whole texts cut to paragraphs: at line ends, and after every sentence whose last two
     words hash to an even number, if it has four words.  The cuts depend on the words around
-    them only, so a passage is cut alike wherever it stands, also in the middle of a line."""
+    them only, so a passage is cut alike wherever it stands, also in the middle of a line.
+
+    Texts are laid end to end with a line end between; no cut looks beyond its own text.  ``doc``
+    is each paragraph's text, ``idx`` its number there.
+    """
 
     @quiet
-    def __init__(self, text: str | None):
-        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    def __init__(self, *texts: bytes):
+        data = np.frombuffer(b"\n".join(texts), np.uint8)
         self.data = data
+        self.sizes = [len(t) for t in texts]
+        self.begin = np.cumsum([0, *[n + 1 for n in self.sizes[:-1]]])
         inside = ~_SPACE[data] if len(data) else np.zeros(0, bool)
         edge = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
         self.starts, self.ends = edge[::2], edge[1::2]
         n = len(self.starts)
         self.hashes = span_hashes(prefix_sums(_LOWER[data]), self.starts, self.ends) if n else np.zeros(0, np.uint64)
         if n:
+            doc = np.searchsorted(self.begin, self.starts, "right") - 1
+            at = np.arange(n) - np.searchsorted(doc, doc)
             lines = np.cumsum(data == 10)
             line = np.diff(lines[self.starts], append=-1) != 0
-            before = np.r_[np.uint64(0), self.hashes[:-1]]
+            before = np.where(at > 0, np.r_[np.uint64(0), self.hashes[:-1]], np.uint64(0))
             even = scramble(self.hashes + np.uint64(3) * before) & np.uint64(1) == 0
             stop = _STOP[data[self.ends - 1]]
-            near = sum(np.r_[np.zeros(k, np.int8), stop][:n] for k in (1, 2, 3)) > 0
+            near = np.zeros(n, bool)
+            for k in (1, 2, 3):
+                near[k:] |= stop[:-k] & (at[k:] >= k)
             last = np.flatnonzero(line | (stop & ~near & even))
             self.first = np.r_[0, last[:-1] + 1]
             self.last = last
+            self.doc = doc[last]
         else:
-            self.first = self.last = np.zeros(0, np.int64)
+            self.first = self.last = self.doc = np.zeros(0, np.int64)
+        self.idx = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc)
         self.words = self.last - self.first + 1
 
     @quiet
@@ -108,25 +125,35 @@ class Paragraphs:
         return s1, s2, keys
 
 
+def chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, texts as bytes), neighbours together up to ``CHUNK`` bytes."""
+    start, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        data = _bytes(text)
+        if held and size + len(data) > CHUNK:
+            yield start, held
+            start, held, size = i, [], 0
+        held.append(data)
+        size += len(data)
+    if held:
+        yield start, held
+
+
 def paragraph_table(docs: DataFrame) -> DataFrame:
     """A row per paragraph of at least ``LEAST_WORDS`` words: its place, hashes and band keys."""
     @lean
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for k1, k2, doc, text in zip(batch["k1"], batch["k2"], batch["doc_id"].astype("Int64"), batch["text"]):
-                p = Paragraphs(text)
+            rows = batch[["k1", "k2", "doc_id"]].astype({"doc_id": "Int64"})
+            for start, texts in chunks(batch["text"]):
+                p = Paragraphs(*texts)
                 which = np.flatnonzero(p.words >= LEAST_WORDS)
                 if len(which):
                     s1, s2, keys = p.signatures(which)
-                    parts.append(([k1] * len(which), [k2] * len(which), [doc] * len(which), which, p.words[which], s1, s2, *keys))
-            names = ["k1", "k2", "doc_id", "idx", "words", "s1", "s2", *[f"b{i}" for i in range(BANDS)]]
-            columns = list(zip(*parts)) if parts else [[[]]] * len(names)
-            frame = pd.DataFrame({n: np.concatenate(c) if n != "doc_id" else pd.array([d for x in c for d in x], "Int64")
-                                  for n, c in zip(names, columns)})
-            yield frame.astype({n: "int32" if n in ("idx", "words") else "Int64" if n == "doc_id" else "int64" for n in names}
-                               if not parts else {"idx": "int32", "words": "int32"}).assign(
-                **{n: frame[n].to_numpy(np.uint64).view(np.int64) for n in names[5:] if parts})
+                    own = rows.iloc[start + p.doc[which]].reset_index(drop=True)
+                    hashes = zip(["s1", "s2", *[f"b{i}" for i in range(BANDS)]], [s1, s2, *keys])
+                    yield own.assign(idx=p.idx[which].astype(np.int32), words=p.words[which].astype(np.int32),
+                                     **{n: h.view(np.int64) for n, h in hashes})
 
     return settle(docs.select(*row_key("doc_id", "text"), "doc_id", "text").mapInPandas(cut, UNIT_SCHEMA))
 
@@ -143,12 +170,14 @@ def alike(candidates: DataFrame, docs: DataFrame, block: int = 512) -> DataFrame
     @lean
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for k1, k2, which, text in zip(batch["k1"], batch["k2"], batch["which"], batch["text"]):
-                p = Paragraphs(text)
-                which = np.sort(np.asarray(which, np.int64))
-                out += [(k1, k2, int(i), s.view(np.int64)) for i, s in zip(which, p.sets(which))]
-            yield pd.DataFrame(out, columns=["k1", "k2", "idx", "shingles"])
+            for start, some in chunks(batch["text"]):
+                p = Paragraphs(*some)
+                own = batch.iloc[start:start + len(some)]
+                number = np.repeat(np.arange(len(some)), own["which"].map(len))
+                which = np.concatenate(own["which"].to_numpy()).astype(np.int64)
+                found = p.sets(np.searchsorted(p.doc, number) + which)
+                yield own[["k1", "k2"]].iloc[number].reset_index(drop=True).assign(
+                    idx=which.astype(np.int32), shingles=[s.view(np.int64) for s in found])
 
     texts = (docs.select(*row_key("doc_id", "text"), "text").join(wanted, ["k1", "k2"])
              .select("k1", "k2", "which", "text")
@@ -223,31 +252,43 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     return found
 
 
-def without(text: str | None, which: np.ndarray | None) -> tuple[str | None, int, int, int]:
-    """(text without the paragraphs, paragraphs, removed paragraphs, removed words).
+def trimmed(p: Paragraphs, doc: int, which: np.ndarray) -> tuple[str | None, int, int]:
+    """(what is left of a text without the paragraphs ``which``, how many went, their words);
+    no text if all of it stays.
 
     Copies next to each other (with only short paragraphs between) are removed from
     ``LEAST_RUN`` words on, with what stands between and the white space after them."""
-    p = Paragraphs(text)
-    if which is None or not len(which):
-        return text, len(p.words), 0, 0
-    copy = np.zeros(len(p.words), np.int8)
+    lo, hi = np.searchsorted(p.doc, [doc, doc + 1])
+    words, begin, size = p.words[lo:hi], p.begin[doc], p.sizes[doc]
+    copy = np.zeros(hi - lo, np.int8)
     copy[np.asarray(which, np.int64)] = 1
-    idx = np.flatnonzero((p.words >= LEAST_WORDS) | (copy == 1))
-    drop = np.zeros(len(p.words), bool)
+    idx = np.flatnonzero((words >= LEAST_WORDS) | (copy == 1))
+    drop = np.zeros(hi - lo, bool)
     edges = np.flatnonzero(np.diff(np.r_[0, copy[idx], 0]))
     for a, b in zip(edges[::2], edges[1::2]):
         run = idx[a:b]
-        if p.words[run].sum() >= LEAST_RUN:
+        if words[run].sum() >= LEAST_RUN:
             drop[run[0]:run[-1] + 1] = True
     if not drop.any():
-        return text, len(p.words), 0, 0
-    keep = np.ones(len(p.data), bool)
-    after = np.r_[p.starts[p.first[1:]], len(p.data)]
+        return None, 0, 0
+    keep = np.ones(size, bool)
+    starts = np.r_[p.starts[p.first[lo:hi]] - begin, size]
     for i in np.flatnonzero(drop):
-        keep[p.starts[p.first[i]]:after[i]] = False
-    return (p.data[keep].tobytes().decode("utf-8", "surrogatepass"), len(p.words), int(drop.sum()),
-            int(p.words[drop].sum()))
+        keep[starts[i]:starts[i + 1]] = False
+    left = p.data[begin:begin + size][keep].tobytes().decode("utf-8", "surrogatepass")
+    return left, int(drop.sum()), int(words[drop].sum())
+
+
+def without(texts: Iterable[str | None], found: Iterable[np.ndarray | None]) -> Iterator[tuple]:
+    """(text, paragraphs, removed paragraphs, removed words) for texts and their copied paragraphs."""
+    texts, found = list(texts), list(found)
+    for start, some in chunks(texts):
+        p = Paragraphs(*some)
+        count = np.bincount(p.doc, minlength=len(some)).tolist()
+        for i, n in enumerate(count):
+            which = found[start + i]
+            left, gone, words = trimmed(p, i, which) if which is not None and len(which) else (None, 0, 0)
+            yield left if gone else texts[start + i], n, gone, words
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -264,7 +305,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("text string, n_paragraphs long, n_removed long, words_removed long")
     def cut(texts: pd.Series, which: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([without(t, w) for t, w in zip(texts, which)], columns=["text", *names])
+        return pd.DataFrame(without(texts, which), columns=["text", *names])
 
     k1, k2 = row_key("doc_id", "text")
     rows = docs.select(*keep, k1.alias("_a"), k2.alias("_b"))
