@@ -179,7 +179,7 @@ class Timeline:
         region = self.tables("region").select(F.col("r_regionkey").alias("n_regionkey"),
                                               F.col("r_name").alias("region"))
         return self.tables("nation").join(region, "n_regionkey").select(
-            F.col("n_name").alias("state"), F.substring("n_name", 1, 8).alias("division"), "region")
+            F.col("n_name").alias("state"), F.col("n_name").alias("division"), "region")
 
     def zips(self) -> DataFrame:
         nation = self.tables("nation").select(F.col("n_nationkey").alias("c_nationkey"),
