@@ -1,4 +1,5 @@
-"""Repeated paragraphs inside documents, found by MinHash bands and verified exactly."""
+"""Repeated paragraphs inside documents, found by MinHash bands and verified exactly, and
+repeated passages wherever they stand, found by winnowed anchors and widened word by word."""
 
 from __future__ import annotations
 
@@ -12,13 +13,16 @@ from pyspark.sql import DataFrame, functions as F
 from cohortkit.llm.components import components
 from cohortkit.llm.jaccard import roots, row_key
 from cohortkit.llm.store import discard, settle
-from cohortkit.llm.text import lean, prefix_sums, quiet, scramble, span_hashes
+from cohortkit.llm.text import lean, powers, prefix_sums, quiet, scramble, span_hashes
 
 WORDS = 5                # words of a shingle
 THRESHOLD = (4, 5)       # Jaccard similarity from which paragraphs are copies
 RECALL = 0.99            # of pairs at the threshold, that share a band
 LEAST_WORDS = 8          # shorter paragraphs are left alone
 LEAST_RUN = 20           # words that adjacent copies must have together to be removed
+ANCHOR = LEAST_RUN       # words of an anchor
+WINDOW = 31              # anchors are the least of so many in a row: every passage of 50 words has one
+WIDEN = ANCHOR + WINDOW - 1  # words that a match is widened by on each side of each of its anchors
 CHUNK = 1 << 18          # bytes of short texts that are cut together (longer ones: alone, whole)
 
 _SPACE = np.zeros(256, bool)
@@ -41,10 +45,34 @@ def tuned_bands(threshold: float, recall: float, most: int = 64) -> tuple[int, i
 
 
 BANDS, ROWS = tuned_bands(THRESHOLD[0] / THRESHOLD[1], RECALL)
+ANCHOR_SCHEMA = "k1 long, k2 long, doc_id long, pos int, run int, h long"
 UNIT_SCHEMA = ("k1 long, k2 long, doc_id long, idx int, words int, s1 long, s2 long, "
                + ", ".join(f"b{i} long" for i in range(BANDS)))
 
 
+def _breaks(data: np.ndarray) -> np.ndarray:
+    """Where words begin without white space: before and after each character of the scripts
+    that are written without it (Chinese, Japanese and Hangul; Thai, Lao, Khmer, Burmese)."""
+    n = len(data)
+    after = np.r_[data[1:], np.zeros(min(n, 1), np.uint8)]
+    three = (data >= 0xE3) & (data <= 0xED)
+    three |= (data == 0xE0) & (after >= 0xB8) & (after <= 0xBB)
+    three |= (data == 0xE1) & np.isin(after, [0x80, 0x81, 0x82, 0x9E, 0x9F])
+    four = (data == 0xF0) & (after >= 0xA0) & (after <= 0xAF)
+    out = three | four
+    for lead, size in ((three, 3), (four, 4)):
+        out[np.flatnonzero(lead[:max(0, n - size)]) + size] = True
+    return out
+
+
+def _least(x: np.ndarray, n: int, pick: np.ufunc = np.minimum) -> np.ndarray:
+    """The least (or by ``pick``) of every n neighbours."""
+    size = 1
+    while 2 * size <= n:
+        x, size = pick(x[:-size], x[size:]), 2 * size
+    return pick(x[:len(x) - (n - size)], x[n - size:]) if n > size else x
+
+
 def _bytes(text: str | None) -> bytes:
     return (text if isinstance(text, str) else "").encode("utf-8", "surrogatepass")
 
@@ -55,7 +83,8 @@ class Paragraphs:
     them only, so a passage is cut alike wherever it stands, also in the middle of a line.
 
     Texts are laid end to end with a line end between; no cut looks beyond its own text.  ``doc``
-    is each paragraph's text, ``idx`` its number there.
+    is each paragraph's text, ``idx`` its number there.  A character of a script without spaces
+    is a word.
     """
 
     @quiet
@@ -65,8 +94,11 @@ class Paragraphs:
         self.sizes = [len(t) for t in texts]
         self.begin = np.cumsum([0, *[n + 1 for n in self.sizes[:-1]]])
         inside = ~_SPACE[data] if len(data) else np.zeros(0, bool)
-        edge = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
-        self.starts, self.ends = edge[::2], edge[1::2]
+        begins = inside & ~np.r_[False, inside[:-1]] if len(data) else inside
+        if len(data) and data.max() >= 0xE0:
+            begins |= inside & _breaks(data)
+        self.starts = np.flatnonzero(begins)
+        self.ends = np.flatnonzero(inside & np.r_[(begins | ~inside)[1:], True]) + 1 if len(data) else self.starts
         n = len(self.starts)
         self.hashes = span_hashes(prefix_sums(_LOWER[data]), self.starts, self.ends) if n else np.zeros(0, np.uint64)
         if n:
@@ -84,8 +116,9 @@ class Paragraphs:
             self.first = np.r_[0, last[:-1] + 1]
             self.last = last
             self.doc = doc[last]
+            self.word_doc, self.at = doc, at
         else:
-            self.first = self.last = self.doc = np.zeros(0, np.int64)
+            self.first = self.last = self.doc = self.word_doc = self.at = np.zeros(0, np.int64)
         self.idx = np.arange(len(self.doc)) - np.searchsorted(self.doc, self.doc)
         self.words = self.last - self.first + 1
 
@@ -125,6 +158,44 @@ class Paragraphs:
         return s1, s2, keys
 
 
+    @quiet
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, run, hash) of the stretches of ``ANCHOR`` words that hash least among ``WINDOW``
+        in a row.  A passage of ``WIDEN`` words or more has one that depends on its words only.
+
+        Anchors of one hash at most ``WINDOW`` words apart, as in "a b a b ...", are a run, named
+        by its first word; of a long run every 16th stays."""
+        n = len(self.hashes) - ANCHOR + 1
+        m = n - WINDOW + 1
+        if m < 1:
+            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+        up, down = powers(len(self.hashes))
+        sums = np.r_[np.uint64(0), np.cumsum(self.hashes * up, dtype=np.uint64)]
+        grams = scramble((sums[ANCHOR:] - sums[:-ANCHOR]) * down[:n])
+        own = self.word_doc[:m] == self.word_doc[WIDEN - 1:]
+        least = np.where(own, _least(grams, WINDOW), np.uint64(0))
+        edge = np.zeros(WINDOW - 1, np.uint64)
+        word = np.flatnonzero(_least(np.r_[edge, least, edge], WINDOW, np.maximum) == grams)
+        order = np.lexsort((word, grams[word], self.word_doc[word]))
+        word = word[order]
+        h, doc = grams[word], self.word_doc[word]
+        new = np.ones(len(word), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(word) > WINDOW)
+        first = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        rank = np.arange(len(word)) - first[run]
+        stay = (rank < 4) | (rank % 16 == 0) | np.r_[new[1:], True]
+        return word[stay], word[first[run]][stay], h[stay]
+
+    def around(self, word: int) -> tuple[bytes, bytes]:
+        """Hashes of the words before an anchor (from the nearest on) and of those after it."""
+        doc = self.word_doc[word]
+        lo, hi = np.searchsorted(self.word_doc, [doc, doc + 1])
+        short = lambda a, b: (self.hashes[a:b] >> np.uint64(32)).astype(np.uint32)
+        return (short(max(lo, word - WIDEN), word)[::-1].tobytes(),
+                short(word + ANCHOR, min(hi, word + ANCHOR + WIDEN)).tobytes())
+
+
 def chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """(number of the first, texts as bytes), neighbours together up to ``CHUNK`` bytes."""
     start, held, size = 0, [], 0
@@ -252,9 +323,80 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     return found
 
 
-def trimmed(p: Paragraphs, doc: int, which: np.ndarray) -> tuple[str | None, int, int]:
-    """(what is left of a text without the paragraphs ``which``, how many went, their words);
-    no text if all of it stays.
+def anchor_table(docs: DataFrame) -> DataFrame:
+    """A row per anchor: its text, its place there and its hash."""
+    @lean
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = batch[["k1", "k2", "doc_id"]].astype({"doc_id": "Int64"})
+            for start, texts in chunks(batch["text"]):
+                p = Paragraphs(*texts)
+                word, run, h = p.anchors()
+                own = rows.iloc[start + p.word_doc[word]].reset_index(drop=True)
+                yield own.assign(pos=p.at[word].astype(np.int32), run=p.at[run].astype(np.int32), h=h.view(np.int64))
+
+    return settle(docs.select(*row_key("doc_id", "text"), "doc_id", "text").mapInPandas(find, ANCHOR_SCHEMA))
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(k1, k2, anchors): per row content, the anchors that copy one that stands earlier, by (doc_id,
+    content, place), with the words around that earlier one.
+
+    What travels is a hash per anchor, and ``WIDEN`` word hashes on each side of the earlier one,
+    never a whole text.  A run does not copy itself.  Rows that repeat exactly count once."""
+    every = anchor_table(docs)
+    # hashes that stand in several texts or runs: few, so found on short rows before the places travel
+    own = F.hash("k1", "k2", "run").alias("x")
+    again = every.select("h", own).groupBy("h").agg(F.min("x").alias("x"), F.max("x").alias("y")).filter("x <> y")
+    table = settle(every.join(again.select("h"), "h", "left_semi"))
+    discard(every)
+    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k1", "k2", "pos", "run")
+    kept = settle(table.groupBy("h").agg(F.min(place).alias("a"))
+                  .select("h", F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("a.pos").alias("at"),
+                          F.col("a.run").alias("own")))
+    wanted = kept.groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(F.collect_list(F.struct("at", "h")).alias("w"))
+
+    @lean
+    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start, texts in chunks(batch["text"]):
+                p = Paragraphs(*texts)
+                rows = [(x["h"], *p.around(int(np.searchsorted(p.word_doc, i)) + x["at"]))
+                        for i, some in enumerate(batch["w"].iloc[start:start + len(texts)]) for x in some]
+                yield pd.DataFrame(rows, columns=["h", "before", "after"])
+
+    words = (docs.select(*row_key("doc_id", "text"), "text").join(wanted, ["k1", "k2"]).select("text", "w")
+             .mapInPandas(around, "h long, before binary, after binary").dropDuplicates(["h"]))
+    copies = (table.join(kept.join(words, "h"), "h")
+              .filter("k1 <> a1 OR k2 <> a2 OR run <> own"))
+    found = settle(copies.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "before", "after")).alias("anchors")))
+    discard(table, kept)
+    return found
+
+
+def widened(p: Paragraphs, doc: int, anchors: Iterable[dict]) -> np.ndarray:
+    """Which words of a text are in copied passages: the anchors, and as many words to each side
+    as are the same around the earlier one."""
+    lo, hi = np.searchsorted(p.word_doc, [doc, doc + 1])
+    h = (p.hashes[lo:hi] >> np.uint64(32)).astype(np.uint32)
+    gone = np.zeros(hi - lo, bool)
+
+    def same(a: np.ndarray, b: np.ndarray) -> int:
+        n = min(len(a), len(b))
+        unlike = np.flatnonzero(a[:n] != b[:n])
+        return int(unlike[0]) if len(unlike) else n
+
+    for x in anchors:
+        pos, end = x["pos"], x["pos"] + ANCHOR
+        left = same(h[max(0, pos - WIDEN):pos][::-1], np.frombuffer(x["before"], np.uint32))
+        right = same(h[end:end + WIDEN], np.frombuffer(x["after"], np.uint32))
+        gone[pos - left:end + right] = True
+    return gone
+
+
+def trimmed(p: Paragraphs, doc: int, which: np.ndarray, anchors: Iterable[dict] = ()) -> tuple[str | None, int, int]:
+    """(what is left of a text without the paragraphs ``which`` and the passages at ``anchors``, how
+    many paragraphs lost words, the words that went); no text if all of it stays.
 
     Copies next to each other (with only short paragraphs between) are removed from
     ``LEAST_RUN`` words on, with what stands between and the white space after them."""
@@ -269,47 +411,57 @@ def trimmed(p: Paragraphs, doc: int, which: np.ndarray) -> tuple[str | None, int
         run = idx[a:b]
         if words[run].sum() >= LEAST_RUN:
             drop[run[0]:run[-1] + 1] = True
-    if not drop.any():
+    gone = np.repeat(drop, words)
+    if len(anchors):
+        gone |= widened(p, doc, anchors)
+    if not gone.any():
         return None, 0, 0
+    first = p.first[lo]
+    starts = np.r_[p.starts[first:first + len(gone)] - begin, size]
     keep = np.ones(size, bool)
-    starts = np.r_[p.starts[p.first[lo:hi]] - begin, size]
-    for i in np.flatnonzero(drop):
-        keep[starts[i]:starts[i + 1]] = False
+    edges = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
+    for a, b in zip(edges[::2], edges[1::2]):
+        keep[starts[a]:starts[b]] = False
     left = p.data[begin:begin + size][keep].tobytes().decode("utf-8", "surrogatepass")
-    return left, int(drop.sum()), int(words[drop].sum())
+    return left, int(np.logical_or.reduceat(gone, p.first[lo:hi] - first).sum()), int(gone.sum())
 
 
-def without(texts: Iterable[str | None], found: Iterable[np.ndarray | None]) -> Iterator[tuple]:
-    """(text, paragraphs, removed paragraphs, removed words) for texts and their copied paragraphs."""
-    texts, found = list(texts), list(found)
+def without(texts: Iterable[str | None], found: Iterable[np.ndarray | None],
+            passages: Iterable[np.ndarray | None]) -> Iterator[tuple]:
+    """(text, paragraphs, paragraphs that lost words, removed words) for texts, their copied
+    paragraphs and the anchors of their copied passages."""
+    texts, found, passages = list(texts), list(found), list(passages)
     for start, some in chunks(texts):
         p = Paragraphs(*some)
         count = np.bincount(p.doc, minlength=len(some)).tolist()
         for i, n in enumerate(count):
-            which = found[start + i]
-            left, gone, words = trimmed(p, i, which) if which is not None and len(which) else (None, 0, 0)
+            which, anchors = ([] if x is None else x for x in (found[start + i], passages[start + i]))
+            left, gone, words = trimmed(p, i, which, anchors) if len(which) or len(anchors) else (None, 0, 0)
             yield left if gone else texts[start + i], n, gone, words
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated paragraphs cut from ``text``, and (n_paragraphs, n_removed,
+    """``docs`` with repeated paragraphs and passages cut from ``text``, and (n_paragraphs, n_removed,
     words_removed); columns of these names are replaced, others kept.
 
     Only runs of copies of at least ``LEAST_RUN`` words go; everything else stays byte for byte.
+    ``n_removed`` counts the paragraphs that lost words.
     Null and empty texts have no paragraphs and stay; ids may be null or repeat; rows that
     repeat exactly get the same result; an empty table gives none.
     """
     names = ["n_paragraphs", "n_removed", "words_removed"]
     keep = [c for c in docs.columns if c not in names]
     found = repeated_paragraphs(docs).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "which")
+    passages = repeated_passages(docs).select(F.col("k1").alias("_p1"), F.col("k2").alias("_p2"), "anchors")
 
     @F.pandas_udf("text string, n_paragraphs long, n_removed long, words_removed long")
-    def cut(texts: pd.Series, which: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(without(texts, which), columns=["text", *names])
+    def cut(texts: pd.Series, which: pd.Series, anchors: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(without(texts, which, anchors), columns=["text", *names])
 
     k1, k2 = row_key("doc_id", "text")
     rows = docs.select(*keep, k1.alias("_a"), k2.alias("_b"))
     joined = rows.join(found, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left")
-    done = joined.select(*keep, cut(F.col("text"), F.col("which")).alias("_p"))
+    joined = joined.join(passages, (F.col("_a") == F.col("_p1")) & (F.col("_b") == F.col("_p2")), "left")
+    done = joined.select(*keep, cut(F.col("text"), F.col("which"), F.col("anchors")).alias("_p"))
     return done.select(*[F.col("_p.text").alias("text") if c == "text" else F.col(c) for c in keep],
                        *[F.col(f"_p.{n}").alias(n) for n in names])

@@ -110,6 +110,22 @@ def test_paragraphs(spark):
     assert paragraphs.drop_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("glue", [" ", ""])
+def test_passages_without_stops(spark, glue):
+    # 51 words (or characters of a script without spaces) inside lines without a stop
+    rng = random.Random(9)
+    word = (lambda: "".join(rng.choices("abcdefgh", k=6))) if glue else (lambda: chr(rng.randrange(0x4E00, 0x9F00)))
+    some = lambda n: [word() for _ in range(n)]
+    passages = [some(51) for _ in range(40)]
+    ends = [(some(rng.randint(30, 90)), some(rng.randint(30, 90))) for _ in range(80)]
+    rows = [(i, glue.join(a + passages[i % 40] + b)) for i, (a, b) in enumerate(ends)]
+    rows += [(100, glue.join(some(1) * 3000)), (101, glue.join(some(2) * 3000))]
+    got = {r.doc_id: r for r in paragraphs.drop_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i].text == t for i, t in rows if i < 40 or i >= 100)
+    assert all(got[i].text == glue.join(a + b) and got[i].words_removed == 51 and got[i].n_removed == 1
+               for i, (a, b) in enumerate(ends) if i >= 40)
+
+
 def embeddings(rng, n=400, dim=24):
     x = rng.standard_normal((n, dim))
     x[50:90] = x[50] + 0.05 * rng.standard_normal((40, dim))
