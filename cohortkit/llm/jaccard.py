@@ -244,6 +244,31 @@ def group_links(diffs: DataFrame, num: int, den: int, block: int = 1024) -> Data
                       .mapInPandas(link, "uid long, root long").filter("uid <> root").distinct())
 
 
+def across_groups(marked: DataFrame) -> DataFrame:
+    """Postings of the tokens that several groups share; all but the largest group's are ``minor``."""
+    marked = marked.withColumn("class", F.col("g"))
+    per = marked.groupBy("token", "class").agg(F.count("*").alias("m"))
+    major = per.groupBy("token").agg(F.max(F.struct("m", "class")).alias("c"), F.count("*").alias("classes"))
+    return marked.join(major.filter("classes > 1"), "token").select(
+        "token", "uid", "n", "layer", "level", "comp", "g", (F.col("class") != F.col("c.class")).alias("minor"))
+
+
+def candidate_pairs(split: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), a < b, of different groups and components that share as many tokens as their level asks.
+
+    Which of the two is ``minor`` changes from token to token, so pairs are counted by ordered ids."""
+    small, large = F.least("na", "nb"), F.greatest("na", "nb")
+    left = split.filter("minor").select("token", *[F.col(c).alias(c + "a") for c in ("uid", "n", "layer", "level", "comp", "g")])
+    right = split.select("token", "minor", *[F.col(c).alias(c + "b") for c in ("uid", "n", "layer", "level", "comp", "g")])
+    return (left.join(right, "token")
+            .filter("compa <> compb AND ga <> gb AND (NOT minor OR uida < uidb)")
+            .filter("greatest(layera, layerb) <= least(levela, levelb)")
+            .filter(den * small >= num * large)
+            .groupBy(F.least("uida", "uidb").alias("a"), F.greatest("uida", "uidb").alias("b"))
+            .agg(F.count("*").alias("shared"), F.first(F.least("levela", "levelb")).alias("need"))
+            .filter("shared >= need").select("a", "b"))
+
+
 def near_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """(k1, k2, doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -268,7 +293,6 @@ def near_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     reps = settle(full.groupBy("s1", "s2", "n").agg(F.min("uid").alias("uid")))
     lists = postings(whole.join(reps.select("uid"), "uid", "left_semi"), num, den)
     discard(whole)
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
     centre = lists.groupBy("token").agg(F.min("uid").alias("a"))
     stars = (lists.join(centre, "token").filter("uid <> a").groupBy("uid", "a").agg(F.count("*").alias("shared"))
              .groupBy("uid").agg(F.max("shared").alias("most"), F.collect_list(F.struct("shared", "a")).alias("c"))
@@ -280,21 +304,10 @@ def near_sets(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) ->
     groups = diffs.filter("uid <> g").select("uid", "g")
 
     marked = (lists.join(labels, "uid", "left").join(groups, "uid", "left")
-              .withColumns({"comp": F.coalesce("root", "uid"), "g": F.coalesce("g", "uid")})
-              .withColumn("class", F.col("g")))
-    per = marked.groupBy("token", "class").agg(F.count("*").alias("m"))
-    major = per.groupBy("token").agg(F.max(F.struct("m", "class")).alias("c"), F.count("*").alias("classes"))
-    split = settle(marked.join(major.filter("classes > 1"), "token").select(
-        "token", "uid", "n", "layer", "level", "comp", "g", (F.col("class") != F.col("c.class")).alias("minor")))
+              .withColumns({"comp": F.coalesce("root", "uid"), "g": F.coalesce("g", "uid")}))
+    split = settle(across_groups(marked))
     discard(lists, diffs)
-    left = split.filter("minor").select("token", *[F.col(c).alias(c + "a") for c in ("uid", "n", "layer", "level", "comp", "g")])
-    right = split.select("token", "minor", *[F.col(c).alias(c + "b") for c in ("uid", "n", "layer", "level", "comp", "g")])
-    pairs = (left.join(right, "token")
-             .filter("compa <> compb AND ga <> gb AND (NOT minor OR uida < uidb)")
-             .filter("greatest(layera, layerb) <= least(levela, levelb)")
-             .filter(den * small >= num * large)
-             .groupBy("uida", "uidb").agg(F.count("*").alias("shared"), F.first(F.least("levela", "levelb")).alias("need"))
-             .filter("shared >= need").select(F.col("uida").alias("a"), F.col("uidb").alias("b")))
+    pairs = candidate_pairs(split, num, den)
     links = grouped.toDF("a", "b").unionByName(verified(pairs, sets, docs, size, num, den))
     discard(split)
     labels = settle(components(links).toDF("uid", "root"))

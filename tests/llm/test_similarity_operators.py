@@ -82,6 +82,14 @@ def test_group_comparison_by_blocks():
     assert dict(jaccard.linked_in_group(rows, 85, 100)) == want
 
 
+def test_shared_tokens_count_whichever_group_is_larger(spark):
+    # token 10: group 1 is the smaller; token 11: group 4 is; sets 1 and 4 share both and need two
+    held = {10: [(1, 1), (4, 4), (5, 4)], 11: [(1, 1), (2, 1), (4, 4)]}
+    rows = [(t, u, 20, 1, 2, u, g) for t, some in held.items() for u, g in some]
+    marked = spark.createDataFrame(rows, "token long, uid long, n long, layer int, level int, comp long, g long")
+    assert [tuple(r) for r in jaccard.candidate_pairs(jaccard.across_groups(marked), 85, 100).collect()] == [(1, 4)]
+
+
 def test_paragraph_bands_reach_their_recall():
     assert 1 - (1 - 0.8 ** paragraphs.ROWS) ** paragraphs.BANDS >= paragraphs.RECALL
 
