@@ -250,7 +250,7 @@ def _match(e: DataFrame) -> DataFrame:
 def _imputed(e: DataFrame) -> DataFrame:
     return impute.impute_chained(
         e, ["bmi", "wbc"], predictors=["age", "CCI", "target", *FLAGS, "hospital_mortality"],
-        factors=["race_ethnicity"], m=3, iters=2)
+        factors=["race_ethnicity"])
 
 
 COMPLETE = ("person_id", "target", "reporting_period", *FLAGS, "race_ethnicity", "age",
@@ -343,7 +343,7 @@ ENCOUNTERS: dict[str, Query] = {
     "mean_imputed_effects": _stays(lambda e: effects.imputed_matched_effects(
         effects.model_frame(e, ORIGIN), "mean")[0]),
     "chained_imputed_effects": _stays(lambda e: effects.imputed_matched_effects(
-        effects.model_frame(e, ORIGIN), "chained", m=2, iters=1)[0]),
+        effects.model_frame(e, ORIGIN), "chained")[0]),
 }
 
 

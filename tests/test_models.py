@@ -1,3 +1,4 @@
+import inspect
 import math
 
 import numpy as np
@@ -340,3 +341,25 @@ def test_imputed_effects(stays, method):
     smd = {r.variable: r.smd for r in balance.collect()}
     before = {r.variable: r.smd for r in balance_table(stays, "target", ["CCI"]).collect()}
     assert 0 <= smd["CCI"] < before["CCI"] and math.isfinite(smd["wbc"])
+
+
+def test_registered_imputation_runs_the_default_job(monkeypatch):
+    from cohortkit.plans import registry
+
+    seen = []
+
+    def recorded(f, result):
+        def run(*args, **kwargs):
+            bound = inspect.signature(f).bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen.append((bound.arguments["m"], bound.arguments["iters"]))
+            return result
+        return run
+    monkeypatch.setattr(impute, "impute_chained", recorded(impute.impute_chained, None))
+    monkeypatch.setattr(effects, "imputed_matched_effects", recorded(effects.imputed_matched_effects, (None, None)))
+    monkeypatch.setattr(effects, "model_frame", lambda e, origin: e)
+    monkeypatch.setattr(registry, "encounter_rows", lambda spark, folder: None)
+    monkeypatch.setattr(registry, "neat", lambda df, digits: df)
+    for name in ("impute_chained", "chained_imputed_effects"):
+        registry.ENCOUNTERS[name](None, "")
+    assert seen == [(5, 5), (5, 5)]
