@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from cohortkit.functions.expressions import logistic, month_index
+from cohortkit.functions.ordering import known_number
 from cohortkit.operators.gam import GamFit, gam_logit
 from cohortkit.operators.impute import impute_chained, impute_mean
 from cohortkit.operators.matching import complete_cases, propensity_match
@@ -78,6 +79,7 @@ def imputed_matched_effects(df: DataFrame, method: str = "chained", treat: str =
                             ) -> tuple[DataFrame, DataFrame]:
     """Pooled odds ratios and balance after imputing, matching within each copy, and pooling.
 
+    Chained equations fill every incomplete column of the frame, not only ``incomplete``, and keep all rows.
     With mean imputation the copies are identical, so one stands for all and the
     between-copy variance is zero.
     """
@@ -86,9 +88,13 @@ def imputed_matched_effects(df: DataFrame, method: str = "chained", treat: str =
     if method == "mean":
         copies = [(1, impute_mean(base, incomplete))]
     elif method == "chained":
-        complete = base.dropna(subset=["month", "race_ethnicity", *numeric])
-        stacked = impute_chained(complete, incomplete, predictors=numeric,
-                                 factors=["month", "race_ethnicity"], m=m, iters=iters, seed=seed)
+        levels = ("month", "race_ethnicity")
+        gaps = base.agg(*(F.count_if(~known_number(c)).alias(c) for c in numeric),
+                        *(F.count_if(F.col(c).isNull()).alias(c) for c in levels)).first()
+        split = lambda cols, gap: [c for c in cols if bool(gaps[c]) == gap]
+        stacked = impute_chained(base, [*incomplete, *split(numeric, True)], predictors=split(numeric, False),
+                                 factors=split(levels, False), categorical=split(levels, True),
+                                 m=m, iters=iters, seed=seed)
         copies = [(i, stacked.where(F.col("imputation") == i).drop("imputation"))
                   for i in range(1, m + 1)]
     else:

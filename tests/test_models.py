@@ -343,6 +343,24 @@ def test_imputed_effects(stays, method):
     assert 0 <= smd["CCI"] < before["CCI"] and math.isfinite(smd["wbc"])
 
 
+def test_chained_effects_keep_rows_with_any_gap(stays, monkeypatch):
+    gappy = stays.where("person_id < 500").withColumns({
+        c: F.when(F.col("person_id") % 50 != k, F.col(c))
+        for k, c in enumerate(("month", "race_ethnicity", "age", "early_imv"))})
+    copies = []
+    match = effects.match_on_gam
+
+    def kept(copy, *args, **kwargs):
+        copies.append(copy)
+        return match(copy, *args, **kwargs)
+    monkeypatch.setattr(effects, "match_on_gam", kept)
+    pooled, _ = effects.imputed_matched_effects(gappy, m=1, iters=1)
+    assert pooled.count() == len(effects.OUTCOMES)
+    full = copies[0].dropna()
+    assert full.count() == 500 and dict(full.dtypes)["month"] == dict(stays.dtypes)["month"]
+    assert {r.month for r in full.select("month").distinct().collect()} == set(range(5))
+
+
 def test_registered_imputation_runs_the_default_job(monkeypatch):
     from cohortkit.plans import registry
 
