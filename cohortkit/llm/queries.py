@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortkit.llm import chat, jaccard, langid, mih, mixing, packing, paragraphs, suffixes, urls, vectors
+from cohortkit.llm import (align, bpe, chat, jaccard, langid, mih, mixing, packing, paragraphs, repair, suffixes,
+                           urls, vectors)
 from cohortkit.session import tune
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -18,10 +19,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,7 +86,29 @@ def op10_best_fit_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_texts(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode_ids(encoded, path).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    made = repair.repair(repair.damage(table(spark, folder, "conversations")), F.col("present"))
+    lines = F.array_join(F.transform("repaired", lambda x: F.concat(x.role, F.lit(":"), x.text)), "\n")
+    return made.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                       F.sha2(lines, 256).alias("repaired_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align.alignment_scores(table(spark, folder, "documents"), tokenizer_path(),
+                                  tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_language_id, op4_url_filter,
-                                   op5_vector_dedup, op6_multi_index, op7_suffix_array,
-                                   op8_ngram_jaccard,
-                                   op9_paragraph_dedup,                                   op10_best_fit_pack)}
+                                   op5_vector_dedup, op6_multi_index, op7_suffix_array, op8_ngram_jaccard,
+                                   op9_paragraph_dedup, op10_best_fit_pack, op11_byte_bpe,
+                                   op12_conversation_repair, op13_token_alignment)}
