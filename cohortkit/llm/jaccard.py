@@ -93,37 +93,42 @@ def postings(reps: DataFrame, num: int, den: int) -> DataFrame:
     """
     base = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)).cast("long") + 1
     every = (reps.select("uid", "n", F.posexplode("tokens").alias("pos", "token"))
-             .withColumn("layer", F.greatest(F.lit(1), F.col("pos") - base + 2)))
-    df = every.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = settle(every.join(df, "token").select("token", "uid", "n", "layer", "df"))
+             .select("uid", "token", F.greatest(F.lit(1), F.col("pos") - base + 2).cast("byte").alias("layer")))
+    df = settle(every.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
+    shared = settle(every.join(df, "token").select("token", "uid", "layer", "df"))
+    discard(df)
     reads = [F.sum(F.when(F.col("layer") <= l, F.col("df"))) for l in range(1, LEVELS + 1)]
     costs = [F.coalesce(r, F.lit(0)) * (1 + CHECK_COST / l) for l, r in enumerate(reads, 1)]
-    chosen = shared.groupBy("uid").agg(F.first("n").alias("n"), *[c.alias(f"c{l}") for l, c in enumerate(costs, 1)])
+    chosen = (shared.groupBy("uid").agg(*[c.alias(f"c{l}") for l, c in enumerate(costs, 1)])
+              .join(reps.select("uid", "n"), "uid"))
     level = F.lit(1)
     for l in range(2, LEVELS + 1):
         lower = F.col(f"c{l}") < F.least(*[F.col(f"c{m}") for m in range(1, LEVELS + 1) if m != l])
         level = F.when(lower & (F.ceil(F.col("n") * F.lit(num) / F.lit(den)) >= l), F.lit(l)).otherwise(level)
-    levels = chosen.select("uid", level.alias("level"))
+    levels = chosen.select("uid", "n", level.alias("level"))
     lists = settle(shared.join(levels, "uid").filter("layer <= level")
                    .select("token", "uid", "n", "layer", "level"))
     discard(shared)
     return lists
 
 
-def with_texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """Apply ``f`` to (a, b, text) sorted by a: a's own text first, with a null b, then the texts of
-    its partners.  Whole texts come back by content key; no pair copies both of its texts."""
+def with_texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame, f: Callable, schema: str,
+               block: int = 1024) -> DataFrame:
+    """Apply ``f`` to (a, part, b, text) sorted by (a, part): a's own text first, with a null b, then the
+    texts of its partners.  The partners of one a are dealt out to parts of about ``block`` by hash,
+    and a's text goes to each.  A text goes from the documents, by content key, straight to the task
+    that compares it; no pair copies both of its texts."""
     pairs = settle(pairs)
-    wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    texts = settle(docs.select(*row_key("doc_id", "text"), "text")
-                   .join(sets.select("uid", "k1", "k2").join(wanted, "uid"), ["k1", "k2"])
-                   .select("uid", "text"))
-    firsts = texts.join(pairs.select(F.col("a").alias("uid")).distinct(), "uid").select(
-        F.col("uid").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    seconds = pairs.join(texts, pairs["b"] == texts["uid"]).select("a", "b", "text")
-    done = settle(firsts.unionByName(seconds).repartition("a")
-                  .sortWithinPartitions("a", F.asc_nulls_first("b")).mapInPandas(f, schema))
-    discard(pairs, texts)
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    seconds = pairs.join(parts, "a").select(
+        "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", F.col("b").alias("uid"))
+    firsts = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+                          F.lit(None).cast("long").alias("b"), F.col("a").alias("uid"))
+    wanted = firsts.unionByName(seconds).join(sets.select("uid", "k1", "k2"), "uid").drop("uid")
+    done = settle(docs.select(*row_key("doc_id", "text"), "text").join(wanted, ["k1", "k2"])
+                  .select("a", "part", "b", "text").repartition("a", "part")
+                  .sortWithinPartitions("a", "part", F.asc_nulls_first("b")).mapInPandas(f, schema))
+    discard(pairs)
     return done
 
 
@@ -156,10 +161,10 @@ def differences(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int) -
         now, own = None, None
         for batch in batches:
             out = []
-            for a, b, text in zip(batch["a"], batch["b"], batch["text"]):
+            for a, part, b, text in zip(batch["a"], batch["part"], batch["b"], batch["text"]):
                 found = shingle_set(text, size)
                 if pd.isna(b):
-                    if a != now:
+                    if part == 0 and a != now:
                         out.append((a, a, len(found), len(found), np.zeros(0, np.int32), np.zeros(0, np.int64)))
                     now, own = a, found
                     continue

@@ -10,7 +10,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortkit.llm.text import lean, quiet
+from cohortkit.llm.text import give_back, lean, quiet
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -51,21 +51,41 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(counts: np.ndarray, y: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 6, rate: float = 0.5,
+@dataclass
+class SparseRows:
+    """Subword counts of a sample: of row i, ``bucket`` and ``count`` from start[i] to start[i + 1]."""
+
+    start: np.ndarray
+    bucket: np.ndarray
+    count: np.ndarray
+    width: int
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def averages(self, rows: np.ndarray) -> np.ndarray:
+        """Some rows, dense, each adding up to 1."""
+        x = np.zeros((len(rows), self.width), np.float32)
+        for i, row in enumerate(rows):
+            here = slice(self.start[row], self.start[row + 1])
+            x[i, self.bucket[here]] = self.count[here]
+        x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
+        return x
+
+
+def train(sample: SparseRows, y: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 6, rate: float = 0.5,
           risk: float = 0.05, least_steps: int = 600, seed: int = 0) -> LanguageModel:
-    """Stochastic gradient descent over rows of subword counts (float; averaged in place).
+    """Stochastic gradient descent over rows of subword counts; only a batch at a time is dense.
 
     A fifth of the rows are kept back: they set the temperature that makes the probabilities
     most likely, and the least threshold at which the accepted ones err at most at ``risk`` (the
     one with the fewest errors if none does).  A small sample is gone over more often.
     """
     rng = np.random.default_rng(seed)
-    x = counts
-    x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-    back = np.zeros(len(x), bool)
-    back[rng.permutation(len(x))[:len(x) // 5]] = True
+    back = np.zeros(len(sample), bool)
+    back[rng.permutation(len(sample))[:len(sample) // 5]] = True
     k = len(labels)
-    embed = rng.uniform(-1, 1, (x.shape[1], dim)).astype(np.float32) / dim
+    embed = rng.uniform(-1, 1, (sample.width, dim)).astype(np.float32) / dim
     out, bias = np.zeros((dim, k), np.float32), np.zeros(k, np.float32)
     own = np.flatnonzero(~back)
     batches = max(1, -(-len(own) // 32))
@@ -76,9 +96,10 @@ def train(counts: np.ndarray, y: np.ndarray, labels: list[str], dim: int = 16, e
     for _ in range(epochs):
         for at in np.array_split(rng.permutation(own), batches):
             lr = np.float32(rate * (1 - step / steps))
-            hidden = scale * (x[at] @ embed)
+            x = sample.averages(at)
+            hidden = scale * (x @ embed)
             error = (_softmax(hidden @ out + bias) - np.eye(k, dtype=np.float32)[y[at]]) / max(1, len(at))
-            to_embed = scale * (x[at].T @ (error @ out.T))
+            to_embed = scale * (x.T @ (error @ out.T))
             out -= lr * (hidden.T @ error)
             bias -= lr * error.sum(axis=0)
             embed -= lr * to_embed
@@ -86,7 +107,9 @@ def train(counts: np.ndarray, y: np.ndarray, labels: list[str], dim: int = 16, e
     table = (scale * embed @ out).astype(np.float32)
     temperature, threshold = 1.0, 0.0
     if back.any():
-        z, truth = x[back] @ table + bias, y[back]
+        kept = np.flatnonzero(back)
+        parts = np.array_split(kept, -(-len(kept) // 64))
+        z, truth = np.concatenate([sample.averages(at) @ table for at in parts]) + bias, y[back]
         fit = {t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(z)), truth], 1e-12)).mean()
                for t in np.geomspace(0.1, 10, 41)}
         temperature = float(min(fit, key=fit.get))
@@ -135,10 +158,15 @@ def fit_languages(docs: DataFrame, usable: Column, rows_per_label: int = 1000, m
     labels = sorted(set(langs))
     if not labels:
         return None
-    x = np.zeros((len(langs), buckets), np.float32)
-    for i, (at, n) in enumerate(zip(sample["at"], sample["n"])):
-        x[i, np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(n.as_buffer(), np.int32)
-    return train(x, np.array([labels.index(k) for k in langs]), labels, seed=seed)
+    at = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["at"]]
+    n = [np.frombuffer(x.as_buffer(), np.int32) for x in sample["n"]]
+    rows = SparseRows(np.cumsum([0, *map(len, at)]), np.concatenate(at), np.concatenate(n), buckets)
+    del sample, at, n
+    give_back()
+    model = train(rows, np.array([labels.index(k) for k in langs]), labels, seed=seed)
+    del rows
+    give_back()
+    return model
 
 
 def predict(model: LanguageModel | None, texts: pd.Series) -> pd.DataFrame:

@@ -164,7 +164,8 @@ class Paragraphs:
         in a row.  A passage of ``WIDEN`` words or more has one that depends on its words only.
 
         Anchors of one hash at most ``WINDOW`` words apart, as in "a b a b ...", are a run, named
-        by its first word; of a long run every 16th stays."""
+        by its first word; of one, the first anchor in every ``ANCHOR`` words stays, and the last.
+        Two that stay are then at most ``WIDEN`` words apart, so widening by ``WIDEN`` closes the gap."""
         n = len(self.hashes) - ANCHOR + 1
         m = n - WINDOW + 1
         if m < 1:
@@ -183,8 +184,8 @@ class Paragraphs:
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(word) > WINDOW)
         first = np.flatnonzero(new)
         run = np.cumsum(new) - 1
-        rank = np.arange(len(word)) - first[run]
-        stay = (rank < 4) | (rank % 16 == 0) | np.r_[new[1:], True]
+        step = (word - word[first[run]]) // ANCHOR
+        stay = new | np.r_[True, step[1:] != step[:-1]] | np.r_[new[1:], True]
         return word[stay], word[first[run]][stay], h[stay]
 
     def around(self, word: int) -> tuple[bytes, bytes]:
@@ -300,15 +301,21 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     (doc_id, content, place) is kept.  Rows that repeat exactly count once.
     """
     units = paragraph_table(docs)
-    same = units.groupBy("s1", "s2").agg(F.count("*").alias("m"))
-    exact = same.filter("m > 1").select("s1", "s2")
     # keys under which different paragraphs meet
     small = F.hash("s1")
-    keyed = units.select(F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"), small.alias("h"))
-    keys = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x <> y").select("key")
-    met = units.select("k1", "k2", "idx", "s1", F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key"))
-    met = met.join(keys, "key").groupBy("key", "s1").agg(F.min(F.struct("k1", "k2", "idx")).alias("u"))
-    candidates = settle(met.select("key", "s1", "u.*"))
+    banded = F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key")
+    keyed = units.select(banded, small.alias("h"))
+    keys = settle(keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x <> y").select("key"))
+    # only key and paragraph travel by key; where a paragraph stands is looked up for those that met
+    met = settle(units.select(banded, "s1").join(keys, "key", "left_semi").distinct())
+    discard(keys)
+    stands = (units.select("s1", "k1", "k2", "idx").join(met.select("s1").distinct(), "s1", "left_semi")
+              .groupBy("s1").agg(F.min(F.struct("k1", "k2", "idx")).alias("u")))
+    candidates = settle(met.join(stands, "s1").select("key", "s1", "u.*"))
+    slim = settle(units.select("k1", "k2", "doc_id", "idx", "s1", "s2"))
+    discard(met, units)
+    units = slim
+    exact = units.groupBy("s1", "s2").agg(F.count("*").alias("m")).filter("m > 1").select("s1", "s2")
     near = settle(components(alike(candidates, docs)).toDF("s1", "root"))
     flagged = exact.select("s1").unionByName(near.select("s1")).distinct()
     members = (units.select("k1", "k2", "doc_id", "idx", "s1").join(flagged, "s1").join(near, "s1", "left")
@@ -347,9 +354,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     every = anchor_table(docs)
     # hashes that stand in several texts or runs: few, so found on short rows before the places travel
     own = F.hash("k1", "k2", "run").alias("x")
-    again = every.select("h", own).groupBy("h").agg(F.min("x").alias("x"), F.max("x").alias("y")).filter("x <> y")
-    table = settle(every.join(again.select("h"), "h", "left_semi"))
-    discard(every)
+    again = settle(every.select("h", own).groupBy("h").agg(F.min("x").alias("x"), F.max("x").alias("y"))
+                   .filter("x <> y").select("h"))
+    table = settle(every.join(again, "h", "left_semi"))
+    discard(every, again)
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k1", "k2", "pos", "run")
     kept = settle(table.groupBy("h").agg(F.min(place).alias("a"))
                   .select("h", F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("a.pos").alias("at"),

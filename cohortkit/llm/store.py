@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from cohortkit.llm.text import give_back
 from cohortkit.session import shared_folder
 
 
@@ -15,11 +16,12 @@ def settle(df: DataFrame) -> DataFrame:
     the shuffle files behind it now, not at its next collection of garbage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._settled_at = path
     del df
     gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
     return stored
 

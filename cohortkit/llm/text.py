@@ -73,17 +73,22 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
     return span_hashes(prefix_sums(data), starts[:len(words) - k + 1], ends[k - 1:])
 
 
+def give_back() -> None:
+    """Return unused memory of this process to the system."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lean(f: Callable) -> Callable:
     """For functions over a partition's batches: give memory back when the partition is done.
 
     Python workers are used again by later tasks and would keep the most they ever held."""
     @functools.wraps(f)
     def run(batches: Iterator) -> Iterator:
-        import pyarrow
-
         yield from f(batches)
-        pyarrow.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
     return run

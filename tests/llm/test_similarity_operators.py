@@ -134,6 +134,30 @@ def test_passages_without_stops(spark, glue):
                for i, (a, b) in enumerate(ends) if i >= 40)
 
 
+@pytest.mark.parametrize("period", [1, 30, 31])
+def test_periodic_passages_go_whole(spark, period):
+    # a long passage that repeats itself, amid words of its own, goes from the later texts to its last word
+    rng = random.Random(period)
+    some = lambda n: ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+    passage = (some(period) * 3000)[:3000]
+    ends = [(some(rng.randint(30, 200)), some(rng.randint(30, 200))) for _ in range(3)]
+    rows = [(i, " ".join(a + passage + b)) for i, (a, b) in enumerate(ends)]
+    got = {r.doc_id: r for r in paragraphs.drop_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0].text == rows[0][1]
+    assert all(got[i].text.split() == ends[i][0] + ends[i][1] and got[i].words_removed == 3000 for i in (1, 2))
+
+
+def test_passages_of_all_lengths_go_whole(spark):
+    rng = random.Random(4)
+    some = lambda n: ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+    passages = [some(n) for n in (50, 51, 77, 120, 500, 2000, 5000)]
+    own = [[some(rng.randint(300, 900)) for _ in range(8)] for _ in range(4)]
+    rows = [(i, " ".join(sum((a + b for a, b in zip(mine, passages + [[]])), []))) for i, mine in enumerate(own)]
+    got = {r.doc_id: r for r in paragraphs.drop_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[0].text == rows[0][1]
+    assert all(got[i].text.split() == sum(own[i], []) for i in (1, 2, 3))
+
+
 def embeddings(rng, n=400, dim=24):
     x = rng.standard_normal((n, dim))
     x[50:90] = x[50] + 0.05 * rng.standard_normal((40, dim))

@@ -84,10 +84,12 @@ def test_language_held_out_accuracy(spark):
 def test_rejection_is_calibrated():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 2000)
-    counts = rng.poisson(3, (2000, 64)).astype(np.float32)
+    counts = rng.poisson(3, (2000, 64))
     counts[np.arange(2000), y] += rng.integers(0, 12, 2000)      # some rows carry no sign of their label
-    x = counts.copy()
-    model = langid.train(counts, y, ["p", "q"], risk=0.05)
+    x = counts.astype(np.float32)
+    row, bucket = np.nonzero(counts)
+    sample = langid.SparseRows(np.searchsorted(row, np.arange(2001)), bucket, counts[row, bucket], 64)
+    model = langid.train(sample, y, ["p", "q"], risk=0.05)
     z = x / x.sum(axis=1, keepdims=True) @ model.table + model.bias
     p = langid._softmax(z / model.temperature)
     sure = p.max(axis=1) >= model.threshold
@@ -147,7 +149,6 @@ def test_packing_ids_and_places(spark):
     import tokenizers
 
     own = tokenizers.Tokenizer.from_file(tokenizer_path())
-    own.encode_special_tokens = True
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(["ab", "é<|endoftext|>", "x  y", "1234", "\n\n"], k=rng.choice([0, 3, 900])))) for i in range(40)]
     rows += [(None, None), (5, "again"), (5, "again")]
@@ -169,6 +170,15 @@ def test_packing_ids_and_places(spark):
     assert len(bins) <= math.ceil(sum(r.length for r in got) / 64) + 1
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 1_000_000 + "a", "a" * 200_000, "a<|endoftext|> \n" * 9,
+                                  "b" + "\u2003" * 20_000 + "<|endoftext|>"])
+def test_ids_of_extreme_texts(text):
+    import tokenizers
+
+    own = tokenizers.Tokenizer.from_file(tokenizer_path())
+    assert packing.encoder(tokenizer_path())(text) == own.encode(text, add_special_tokens=False).ids
+
+
 def test_the_fullest_bin_closes_first():
     bins = packing.OpenBins(10, 2, 0)
     assert [bins.place(n) for n in (6, 7, 8, 4, 3)] == [(0, 0), (1, 0), (2, 0), (0, 6), (3, 0)]
