@@ -7,14 +7,16 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry_module
+from cohortkit.plans import registry
 from cohortkit.sources.tables import parquet_tables
+from oracle_queries import all_sql
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables not present")
 
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, SQL = registry.all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +37,7 @@ def plain(value):
 
 def test_names_agree():
     assert set(SQL) <= set(QUERIES) and len(SQL) >= 80
+    assert set(SQL) <= set(entry_module.oracle_sql()) and set(QUERIES) <= set(entry_module.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
