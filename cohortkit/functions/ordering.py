@@ -92,23 +92,15 @@ def known_number(value: str) -> Column:
     return number.isNotNull() & ~F.isnan(number)
 
 
-def value_cells(df: DataFrame, by: Sequence[str], value: str, most: int) -> DataFrame:
-    """(*by, value, _cell, _place): the distinct values in order, in at most ``most`` cells per ``by``.
+def value_ranges(df: DataFrame, value: str, rows: int) -> DataFrame:
+    """Add ``_range``: which of the value ranges of about ``rows`` rows each holds the value.
 
-    All cells hold equally many neighbouring distinct values, and one each while those fit,
-    so an outlier takes a cell and moves no other value.  ``_place`` is the mean of the
-    cell's values.  NULL and NaN have no cell.
+    Ranges ascend with the value; equal values share one.
     """
-    distinct = df.where(known_number(value)).groupBy(
-        *by, F.col(value).cast("double").alias(value)).agg(F.lit(1).alias("_one"))
-    keys = list(by) or ["_all"]
-    distinct = checkpoint(distinct if by else distinct.withColumn("_all", F.lit(0)))
-    totals = distinct.groupBy(*keys).agg(F.sum("_one").alias("_n"))
-    ranked = null_safe_join(cumulative_counts(distinct, keys, value, ["_one"]), totals, keys)
-    cell = F.floor((F.col("cum__one") - 1) / F.ceil(F.col("_n") / most)).cast("int")
-    cells = checkpoint(ranked.select(*by, value, cell.alias("_cell")))
-    places = cells.groupBy(*by, "_cell").agg(F.avg(value).alias("_place"))
-    return null_safe_join(cells, places, [*by, "_cell"])
+    buckets = math.ceil(df.count() / rows)
+    if buckets < 2:
+        return df.withColumn("_range", F.lit(0))
+    return _cut(df, value, buckets).withColumn("_range", F.col("_bucket").cast("int")).drop("_bucket")
 
 
 def quantile_label(prob: float) -> str:

@@ -119,10 +119,40 @@ def flows_to_pairs(flows):
 def test_walk_equals_serial_matching(units, reach):
     cells = sorted({s for s, _ in units})
     count = lambda arm: [sum(1 for s, t in units if s == c and t == arm) for c in cells]
-    flows = matching.pair_cells(cells, count(1), count(0), reach)
+    flows = matching.pair_places(cells, count(1), count(0), [0] * len(cells), 0, len(cells), reach)
     assert flows_to_pairs(flows) == serial(units, reach)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 1)), min_size=1, max_size=70),
+       st.none() | st.integers(0, 10), st.lists(st.integers(1, 59), max_size=5))
+def test_ranges_equal_serial_matching(units, reach, cuts):
+    # the rounds of _walk_all on plain frames
+    grid = pd.DataFrame([(float(s), sum(x == (s, 1) for x in units), sum(x == (s, 0) for x in units))
+                         for s in sorted({s for s, _ in units})], columns=["place", "t", "c"])
+    grid["from"] = np.searchsorted(sorted(set(cuts)), grid["place"], "right")
+    own = grid.groupby("from")[["t", "c"]].sum().sort_index(ascending=False)
+    ranges = matching.Ranges(own.index.tolist(), own["t"].tolist(), own["c"].tolist())
+    walked, rounds = {}, 0
+    while (dirty := [(k, e) for k, e in enumerate(ranges.entries()) if ranges.done[k] != e]):
+        before, rounds = dict(walked), rounds + 1
+        for k, (gone, ahead, stack) in dirty:
+            parts = [(grid[grid["from"] == ranges.numbers[k]], matching.OWN, gone, 0)]
+            parts += [(grid[(grid["from"] == ranges.numbers[j]) & (grid["c"] > 0)], matching.AHEAD, lo, hi)
+                      for j, lo, hi in ahead]
+            parts += [(before[j][before[j]["kind"] == 1].rename(columns={"n": "c", "place_c": "place"})
+                       .assign(t=0, **{"from": j}), matching.STACK, lo, hi) for j, lo, hi, _ in stack]
+            asked = pd.concat([x.assign(source=src, lo=lo, hi=hi, start=x["start_c"] if "start_c" in x else 0)
+                               for x, src, lo, hi in parts])
+            walked[k] = matching.walk_range(asked.assign(key="", range=k), reach)
+            ranges.done[k] = (gone, ahead, stack)
+            last = walked[k].iloc[-1]
+            ranges.account[k] = (last["place_t"], last["start_t"], last["start_c"], last["base"])
+    flows = pd.concat(walked.values()).query("kind == 0")
+    got = sorted((r.place_t, r.place_c) for r in flows.itertuples() for _ in range(int(r.n)))
+    assert got == serial(units, reach) and rounds <= len(own) + 1
+
+
 def scored(spark, rows):
     return spark.createDataFrame([(i, float(s), t) for i, (s, t) in enumerate(rows)],
                                  "person_id long, score double, target int")
@@ -142,7 +172,7 @@ def test_match_equals_brute_force(spark, seed):
     rng = np.random.default_rng(seed)
     units = [(int(s), int(t)) for s, t in zip(rng.integers(0, 1000, 200), rng.random(200) < 0.4)]
     units += [(0, 0), (1000, 0)]
-    got = matching.propensity_match(scored(spark, units), "score", resolution=1001)
+    got = matching.propensity_match(scored(spark, units), "score")
     assert got.select("person_id").distinct().count() == got.count()
     assert pairs_of(got) == serial(units)
 
@@ -187,12 +217,32 @@ def test_match_narrow_caliper(spark):
     assert pairs_of(got) == [(0.5, 0.50009)]
 
 
-def test_match_shared_cells(spark):
-    # more distinct scores than cells: still whole pairs, each unit once
-    units = [(i / 7, i % 3 == 0) for i in range(300)]
-    got = matching.propensity_match(scored(spark, [(s, int(t)) for s, t in units]), "score", resolution=16)
-    assert got.count() == 200 == got.select("person_id").distinct().count()
-    assert all(abs(a - b) < 5 for a, b in pairs_of(got))
+@pytest.mark.parametrize("share, caliper", [(0.4, None), (0.75, None), (0.5, 0.02)])
+def test_match_over_many_ranges(spark, share, caliper):
+    # far more scores than a task walks: still the serial rule, on the units' own scores
+    rng = np.random.default_rng(int(100 * share))
+    scores = rng.normal(size=400).round(3)
+    units = [(float(s), int(t)) for s, t in zip(scores, rng.random(400) < share + 0.2 * np.tanh(scores))]
+    got = matching.propensity_match(scored(spark, units), "score", caliper=caliper, places=60)
+    assert got.select("person_id").distinct().count() == got.count()
+    assert got.agg(F.max("subclass")).first()[0] == got.count() // 2 - 1
+    assert pairs_of(got) == serial(units, caliper)
+
+
+def test_match_many_ranges_keep_the_caliper_and_the_strata(spark):
+    off = lambda d: [(i, 1) for i in range(20)] + [(i + d, 0) for i in range(20)]
+    assert matching.propensity_match(scored(spark, off(0.3)), "score", caliper=0.2, places=10).count() == 0
+    near = matching.propensity_match(scored(spark, off(0.1)), "score", caliper=0.2, places=10)
+    assert [round(b - a, 6) for a, b in pairs_of(near)] == [0.1] * 20
+    rows = [(i, i * 7 % 100 / 10, i % 2, "ab"[i % 3 == 0] if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "person_id long, score double, target int, g string")
+    got = matching.propensity_match(df, "score", exact=["g"], places=20).collect()
+    for g in ("a", "b", None):
+        pairs = {}
+        for r in got:
+            if r.g == g:
+                pairs.setdefault(r.subclass, {})[r.target] = r.score
+        assert sorted((p[1], p[0]) for p in pairs.values()) == serial([(s, t) for _, s, t, x in rows if x == g])
 
 
 def test_complete_cases(spark):
@@ -209,14 +259,50 @@ def test_impute_mean(spark, rows):
                                                         (3, 3.0, None)]
 
 
-def test_nearest_cells():
-    grid = pd.DataFrame({"imputation": 1, "_cell": [0, 3, 4, 9], "_place": [0.0, 3.0, 4.0, 9.0],
-                         "have": [1, 0, 3, 2], "need": [0, 1, 1, 0]})
-    got = impute.nearest_cells(grid, 5)
-    assert got.loc[got["_cell"] == 3, "_from"].tolist() == [4, 4, 4, 0, 9]
-    assert got.loc[got["_cell"] == 4, "_from"].tolist() == [4, 4, 4, 0, 9]
-    few = impute.nearest_cells(grid.assign(have=[1, 0, 0, 0]), 3)
+def test_nearest_donors():
+    grid = pd.DataFrame({"imputation": 1, "_hat": [0.0, 3.0, 4.0, 9.0], "have": [1, 0, 3, 2], "need": [0, 1, 1, 0]})
+    got = impute.nearest_donors(grid, 5)
+    assert got.loc[got["_hat"] == 3, "_from"].tolist() == [4, 4, 4, 0, 9]
+    assert got.loc[got["_hat"] == 4, "_from"].tolist() == [4, 4, 4, 0, 9]
+    few = impute.nearest_donors(grid.assign(have=[1, 0, 0, 0]), 3)
     assert few["_from"].unique().tolist() == [0]
+    assert len(impute.nearest_donors(grid.assign(need=0), 3)) == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 16, 500])
+def test_donor_slots_equal_brute_force(spark, monkeypatch, limit):
+    # over 16,384 predictions, one of them far out, in one range or in many: the nearest donors
+    monkeypatch.setattr(impute, "RANGE", limit)
+    rng = np.random.default_rng(3)
+    hats = np.unique(np.r_[rng.normal(size=17_000).round(5), 1e9, rng.uniform(5, 6, 700).round(4)])
+    need = (rng.random(len(hats)) < 0.02) | (hats > 4.9)      # a stretch without any donor
+    grid = spark.createDataFrame(pd.DataFrame({
+        "imputation": 1, "_hat": hats, "have": np.where(need, 0, rng.integers(1, 4, len(hats))), "need": need * 1}),
+        "imputation int, _hat double, have long, need long")
+    slots, _ = impute._donor_slots(grid, 5, 1, len(hats))
+    got = {h: [x for _, x in sorted(zip(g["_slot"], g["_from"]))] for h, g in slots.toPandas().groupby("_hat")}
+    full = grid.toPandas()
+    units = np.repeat(full["_hat"], full["have"]).to_numpy()
+    assert len(got) == need.sum()
+    for h, found in got.items():
+        order = np.lexsort((units, np.abs(units - h)))[:5]
+        assert found == units[order].tolist()
+
+
+def test_levels_fit_is_the_maximum(spark):
+    from pyspark.ml.feature import StringIndexer
+    rng = np.random.default_rng(2)
+    x, copies = rng.normal(size=600), np.repeat([1, 2], 300)
+    y = np.where(x + rng.logistic(size=600) > 0.5, "c", np.where(rng.random(600) < 0.4, "a", "b"))
+    df = spark.createDataFrame(pd.DataFrame({"imputation": copies, "x": x, "y": y}))
+    beta = impute.fit_levels(df, impute.Design(["x"], {}, {}, {}), "y", ["a", "b", "c"], 2)
+    for i in (1, 2):
+        one = StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc").fit(df).transform(
+            df.where(F.col("imputation") == i))
+        fit = LogisticRegression(family="multinomial", maxIter=300, tol=1e-10).fit(
+            VectorAssembler(inputCols=["x"], outputCol="features").transform(one))
+        slope = fit.coefficientMatrix.toArray()[:, 0]
+        assert beta[i][:, 1] == pytest.approx(slope[1:] - slope[0], abs=2e-3)
 
 
 @pytest.fixture(scope="module")
