@@ -260,7 +260,8 @@ def test_impute_mean(spark, rows):
 
 
 def test_nearest_donors():
-    grid = pd.DataFrame({"imputation": 1, "_hat": [0.0, 3.0, 4.0, 9.0], "have": [1, 0, 3, 2], "need": [0, 1, 1, 0]})
+    grid = pd.DataFrame({"imputation": 1, "_hat": [0.0, 3.0, 4.0, 9.0], "have": [1, 0, 3, 2], "need": [0, 1, 1, 0],
+                         "value": [1.5, None, 2.5, 3.5]})
     got = impute.nearest_donors(grid, 5)
     assert got.loc[got["_hat"] == 3, "_from"].tolist() == [4, 4, 4, 0, 9]
     assert got.loc[got["_hat"] == 4, "_from"].tolist() == [4, 4, 4, 0, 9]
@@ -269,7 +270,7 @@ def test_nearest_donors():
     assert len(impute.nearest_donors(grid.assign(need=0), 3)) == 0
 
 
-@pytest.mark.parametrize("limit", [1 << 16, 500])
+@pytest.mark.parametrize("limit", [1 << 18, 500])
 def test_donor_slots_equal_brute_force(spark, monkeypatch, limit):
     # over 16,384 predictions, one of them far out, in one range or in many: the nearest donors
     monkeypatch.setattr(impute, "RANGE", limit)
@@ -277,8 +278,8 @@ def test_donor_slots_equal_brute_force(spark, monkeypatch, limit):
     hats = np.unique(np.r_[rng.normal(size=17_000).round(5), 1e9, rng.uniform(5, 6, 700).round(4)])
     need = (rng.random(len(hats)) < 0.02) | (hats > 4.9)      # a stretch without any donor
     grid = spark.createDataFrame(pd.DataFrame({
-        "imputation": 1, "_hat": hats, "have": np.where(need, 0, rng.integers(1, 4, len(hats))), "need": need * 1}),
-        "imputation int, _hat double, have long, need long")
+        "imputation": 1, "_hat": hats, "have": np.where(need, 0, rng.integers(1, 4, len(hats))), "need": need * 1, "value": hats}),
+        "imputation int, _hat double, have long, need long, value double")
     slots, _ = impute._donor_slots(grid, 5, 1, len(hats))
     got = {h: [x for _, x in sorted(zip(g["_slot"], g["_from"]))] for h, g in slots.toPandas().groupby("_hat")}
     full = grid.toPandas()
