@@ -38,22 +38,28 @@ def resource(url: Column) -> Column:
 
 
 def resolve(link: Column, base: Column) -> Column:
-    """An absolute url for a link found on page ``base``."""
+    """An absolute url for a link found on page ``base``; up to 64 leading dot segments are walked."""
     scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
     origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.concat(origin, F.regexp_extract(url_path(base), r"(?s)^(.*/)", 1))
+    dots = F.regexp_extract(link, r"^((?:\.{1,2}/){0,64})", 1)
+    up = ((F.length(dots) - F.length(F.replace(dots, F.lit("../"), F.lit("")))) / 3).cast("int")
+    below = F.split(F.regexp_extract(url_path(base), r"(?s)^/?(.*/)?", 1), "/")
+    kept = F.slice(below, F.lit(1), F.greatest(F.size(below) - 1 - up, F.lit(0)))
+    folder = F.concat(origin, F.lit("/"), F.array_join(F.transform(kept, lambda x: F.concat(x, F.lit("/"))), ""))
     return (F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
             .when(link.startswith("//"), F.concat(scheme, link))
             .when(link.startswith("/"), F.concat(origin, link))
             .when(link == "", F.lit(None))
-            .otherwise(F.concat(F.when(folder == origin, F.concat(origin, F.lit("/"))).otherwise(folder), link)))
+            .when(link.startswith("?"), F.concat(origin, url_path(base), link))
+            .otherwise(F.concat(folder, F.substr(link, F.length(dots) + 1))))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): each page's resource and what its canonical link or refresh redirect names."""
+    """(a, b): each page's resource and what its canonical links and refresh redirects name."""
     html = F.coalesce("html", F.lit(""))
-    targets = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
-                      F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1))
+    every = lambda tag, url: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)),
+                                         lambda t: F.replace(F.regexp_extract(t, url, 1), F.lit("&amp;"), F.lit("&")))
+    targets = F.concat(every(CANONICAL, HREF), every(REFRESH, REFRESH_URL))
     return (pages.select("url", F.explode(F.filter(targets, lambda t: t != "")).alias("link"))
             .select(resource(F.col("url")).alias("a"), resource(resolve(F.col("link"), F.col("url"))).alias("b"))
             .filter("a IS NOT NULL AND b IS NOT NULL AND a <> b"))

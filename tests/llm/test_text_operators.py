@@ -60,6 +60,20 @@ def test_urls_rules_and_aliases(spark):
     assert urls.filter_urls(empty, RULES).count() == 0
 
 
+def test_urls_links_of_all_forms(spark):
+    link = '<link rel="canonical" href="{}">'
+    bad = "http://z.net/es/1"
+    rows = [(1, "http://a.org/d/e/p", link.format("../q")), (2, "http://a.org/d/q", link.format(bad)),
+            (3, "http://b.org/p", link.format("?a=1&amp;b=2")), (4, "http://b.org/p?a=1&b=2", link.format(bad)),
+            (5, "http://c.org/p", link.format("http://ok.org/") + link.format(bad)),
+            (6, "http://d.org/x/p", link.format("./../../q")), (7, "http://d.org/q", link.format(bad)),
+            (8, "http://e.org", link.format("./q")), (9, "http://e.org/q", link.format(bad)),
+            (10, "http://f.org/d/p", link.format("q")), (11, "http://f.org/q", link.format(bad))]
+    got = {r.page_id: r.verdict for r in urls.filter_urls(
+        spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    assert got == {i: "block" for i in range(1, 12)} | {10: "allow"}
+
+
 def test_url_filter_runs_no_python(spark):
     pages = spark.createDataFrame([(1, "http://a.net/es/", "")], "page_id long, url string, html string").select("*")
     plan = urls.filter_urls(pages, RULES)._jdf.queryExecution().executedPlan().toString()
