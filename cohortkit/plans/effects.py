@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,14 +30,16 @@ def model_frame(df: DataFrame, origin: tuple[int, int] | None = None) -> DataFra
 
 
 def exposure_model(df: DataFrame, extra_factors: Sequence[str] = (),
-                   extra_random: Sequence[str] = (), y: str = "target") -> GamFit:
+                   extra_random: Sequence[str] = (), y: str = "target",
+                   reference: Mapping[str, object] | None = None) -> GamFit:
     """Adjusted model of the exposure: smooth age and comorbidity, month and site effects.
 
     ``extra_factors`` adds for example the procalcitonin group, ``extra_random``
-    the region.
+    the region; ``reference`` names reference levels.
     """
     return gam_logit(df, y, linear=EARLY, factors=["gender_concept_name", *extra_factors],
-                     smooth=["age", "CCI"], random=["month", "data_partner_id", *extra_random])
+                     smooth=["age", "CCI"], random=["month", "data_partner_id", *extra_random],
+                     reference=reference)
 
 
 def weighted_effects(df: DataFrame, outcomes: Sequence[str] = OUTCOMES[:3],

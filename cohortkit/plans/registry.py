@@ -222,10 +222,8 @@ def _region_model(e: DataFrame) -> DataFrame:
 
 def _pct_model(e: DataFrame) -> DataFrame:
     rows = effects.model_frame(e.where(F.col("pct_group") != "not measured"), ORIGIN)
-    # the reference level sorts first
-    rows = rows.withColumn("pct_group", F.when(F.col("pct_group") == "low", "0 low")
-                           .otherwise("1 high"))
-    return effects.exposure_model(rows, extra_factors=["pct_group"]).terms(e.sparkSession)
+    return effects.exposure_model(rows, extra_factors=["pct_group"],
+                                  reference={"pct_group": "low"}).terms(e.sparkSession)
 
 
 def _gam_link(e: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from cohortkit.functions.design import spline_basis
+from cohortkit.functions.design import level_order, spline_basis
 from cohortkit.operators import gam, impute, matching
 from cohortkit.operators.weighting import balance_table
 from cohortkit.plans import effects
@@ -94,6 +94,109 @@ def test_outcome_needs_both_values(spark, survey):
         gam.gam_logit(survey[0].where("y = 1"), "y", linear=["flag"])
 
 
+def dense_reference(pdf, levels, lam_of):
+    """Penalised logistic fit with one dense matrix: intercept, flag, one column per level."""
+    x = np.column_stack([np.ones(len(pdf)), pdf.flag, *(pdf.site == v for v in levels)]).astype(float)
+    s = np.diag([0.0, 0.0, *[lam_of] * len(levels)])
+    beta = np.zeros(x.shape[1])
+    for _ in range(60):
+        mu = 1 / (1 + np.exp(-x @ beta))
+        w = mu * (1 - mu)
+        beta = np.linalg.solve(x.T @ (w[:, None] * x) + s, x.T @ (w * (x @ beta) + pdf.y - mu))
+    mu = 1 / (1 + np.exp(-x @ beta))
+    info = x.T @ ((mu * (1 - mu))[:, None] * x)
+    cov = np.linalg.inv(info + s)
+    return beta, np.sqrt(np.diag(cov)), np.diag(cov @ info)
+
+
+def test_eliminated_levels_equal_the_dense_solution(spark, survey):
+    df, _ = survey
+    fit = gam.gam_logit(df, "y", linear=["flag"], random=["site"], tol=1e-10)
+    beta, se, influence = dense_reference(df.toPandas(), range(12), fit.penalty["re(site)"])
+    assert fit.converged and fit.design.names()[2:] == [f"re(site)={i}" for i in range(12)]
+    assert np.allclose(fit.beta, beta, atol=1e-5) and np.allclose(fit.se, se, atol=1e-5)
+    assert fit.edf["re(site)"] == pytest.approx(influence[2:].sum(), abs=1e-4)
+
+
+def test_order_of_random_terms_does_not_matter(spark, survey):
+    df, _ = survey
+    a = gam.gam_logit(df, "y", linear=["flag"], random=["site", "month"])
+    b = gam.gam_logit(df, "y", linear=["flag"], random=["month", "site"])
+    assert a.design.names() == b.design.names() and np.allclose(a.beta, b.beta)
+    assert a.design.widest == "site"
+
+
+def test_twenty_thousand_levels(spark):
+    n, per = 20_000, 5
+    rows = (spark.range(n * per).withColumn("site", F.col("id") % n)
+            .withColumn("flag", (F.xxhash64("id", F.lit(1)) % 2 == 0).cast("int"))
+            .withColumn("shift", F.when(F.col("site") % 2 == 0, 1.5).otherwise(-1.5))
+            .withColumn("u", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1 << 30)) / float(1 << 30))
+            .withColumn("y", (F.col("u") < 1 / (1 + F.exp(-(F.col("shift") + 0.5 * F.col("flag") - 0.2)))).cast("int")))
+    fit = gam.gam_logit(rows, "y", linear=["flag"], random=["site"])
+    assert fit.converged and len(fit.beta) == n + 2
+    # at the optimum the residuals of every level equal its penalty, and those of the flag vanish
+    scored = fit.predict(rows).withColumn("gap", F.col("y") - 1 / (1 + F.exp(-F.col("link"))))
+    by_site = {r.site: r.gap for r in scored.groupBy("site").agg(F.sum("gap").alias("gap")).collect()}
+    pull = fit.penalty["re(site)"] * fit.beta[2:]
+    assert np.allclose([by_site[v] for v in fit.design.random["site"]], pull, atol=1e-2)
+    assert abs(scored.where("flag = 1").agg(F.sum("gap")).first()[0]) < 5
+
+
+def test_separated_and_redundant_columns_are_named(spark, survey):
+    df, _ = survey
+    odd = (df.withColumn("twin", 2 * F.col("flag") + 1)
+           .withColumn("tell", F.when(F.col("y") == 1, F.col("flag")).otherwise(0))
+           .withColumn("part", F.when((F.col("y") == 1) & (F.col("age") > 60), "late")
+                       .when(F.col("sex") == "M", "b").otherwise("a")))
+    fit = gam.gam_logit(odd, "y", linear=["flag", "twin", "tell"], factors=["part"])
+    status = {r.term: r for r in fit.terms(spark).collect()}
+    assert status["twin"].status == "redundant" and status["twin"].estimate == 0 and status["twin"].se is None
+    assert status["tell"].status == "separated" and status["part=late"].status == "separated"
+    assert status["flag"].status == "ok" and status["part=b"].status == "ok"
+    assert all(r.odds_ratio is None or math.isfinite(r.odds_ratio) for r in status.values())
+    report = fit.report(spark).first()
+    assert report.separated == ["part=late", "tell"] and report.redundant == ["twin"]
+
+
+def test_complete_separation_ends(spark):
+    df = spark.createDataFrame([(i, float(i), int(i >= 50)) for i in range(100)], "id int, x double, y int")
+    fit = gam.gam_logit(df, "y", linear=["x"], max_iter=60)
+    report = fit.report(spark).first()
+    assert report.separated == ["x"] and report.extreme_rows > 0
+    assert np.isfinite(fit.beta).all() and fit.deviance < 1e-3
+    short = gam.gam_logit(df, "y", linear=["x"], max_iter=2)
+    assert not short.converged and short.iterations == 2
+
+
+def test_scoring_has_no_python_and_equals_the_model_matrix(spark, survey):
+    df, _ = survey
+    fit = gam.gam_logit(df, "y", linear=["flag"], factors=["sex"], smooth=["age"], random=["site"])
+    edges = spark.createDataFrame([("F", 1, 3, float(a)) for a in (-5, 17, 18, 18.5, 53.9, 88, 89, 89.0001, 300)],
+                                  "sex string, flag int, site long, age double")
+    scored = fit.predict(edges)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+    pdf = scored.toPandas()
+    assert np.allclose(fit.design.matrix(pdf) @ fit.beta, pdf["link"], atol=1e-9)
+    gone = spark.createDataFrame([("F", 1, 3, float("nan")), ("F", None, 3, 40.0), ("F", 1, 99, 40.0)], edges.schema)
+    assert [r.link for r in fit.predict(gone).collect()] == [None] * 3
+
+
+def test_reference_level_and_level_order(spark, survey):
+    df, _ = survey
+    fit = gam.gam_logit(df, "y", factors=["sex"], reference={"sex": "M"})
+    plain = gam.gam_logit(df, "y", factors=["sex"])
+    assert fit.design.names() == ["(Intercept)", "sex=F"]
+    assert fit.beta[1] == pytest.approx(-plain.beta[1], abs=1e-6)
+    with pytest.raises(ValueError):
+        gam.gam_logit(df, "y", factors=["sex"], reference={"sex": "X"})
+    few = spark.createDataFrame([("b",), ("b",), ("c",), ("a",), (None,)], "g string")
+    assert level_order(few, "g") == ["a", "b", "c"]
+    assert level_order(few, "g", "frequency") == ["b", "a", "c"]
+    assert level_order(few, "g", "frequency", "c") == ["c", "b", "a"]
+
+
 # --- matching -------------------------------------------------------------------------
 
 def serial(units, caliper=None):
