@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortkit.llm.jaccard import row_key
 from cohortkit.llm.store import discard, settle
-from cohortkit.llm.text import lean, prefix_sums, quiet, span_hashes
+from cohortkit.llm.text import lean, prefix_sums, quick_hashes, quiet, span_hashes
 
 LENGTH = 200             # bytes of a string that must not start twice
 ANCHOR = 100             # bytes hashed to choose a string's shard
@@ -198,8 +198,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, size: int = ANCHOR) -> tuple
     if n < length:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64), none > 0
-    start = np.arange(n - size + 1)
-    own = least = span_hashes(prefix_sums(data), start, start + size)
+    own = least = quick_hashes(data, size)
     width, done = length - size + 1, 1
     while 2 * done <= width:
         least = np.minimum(least[:-done], least[done:])

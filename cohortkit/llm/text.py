@@ -10,7 +10,9 @@ import numpy as np
 
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
+#: Stretches of bytes are hashed modulo this prime, once for each base.
+PRIME = (1 << 31) - 1
+BASES = (1_294_871_537, 1_876_104_923)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -40,18 +42,64 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@quiet
+@functools.lru_cache(maxsize=2)
+def _prime_powers(size: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Per base, its first ``size`` (a power of 2) powers and those of its inverse, modulo PRIME."""
+    out = []
+    for base in BASES:
+        pair = []
+        for b in (base, pow(base, -1, PRIME)):
+            table = np.ones(1, np.uint64)
+            while len(table) < size:
+                table = np.r_[table, table * np.uint64(pow(b, len(table), PRIME)) % np.uint64(PRIME)]
+            pair.append(table)
+        out.append(tuple(pair))
+    return tuple(out)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """A smaller number that is the same modulo PRIME."""
+    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums from which ``span_hashes`` hashes any stretch of ``data`` (bytes)."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0], out=sums[1:])
+    """Sums from which ``span_hashes`` hashes any stretch of ``data`` (bytes): one row for each base."""
+    n = len(data)
+    sums = np.zeros((len(BASES), n + 1), np.uint64)
+    symbols = data.astype(np.uint64) + np.uint64(1)
+    for row, (up, _) in zip(sums, _prime_powers(1 << max(16, n.bit_length()))):
+        np.cumsum(_fold(symbols * up[:n]), out=row[1:])   # terms under 2**32: no overflow in a text
     return sums
 
 
-@quiet
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], the same wherever the stretch stands."""
-    return scramble((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
+    """64-bit hashes of data[start:end], the same wherever the stretch stands.
+
+    Two polynomials modulo a prime, so that texts built from few patterns do not meet as they
+    do modulo a power of two.  (Texts are under 2**30 bytes, so a folded difference times a
+    power stays under 2**64.)"""
+    n = sums.shape[1] - 1
+    whole = np.zeros(len(starts), np.uint64)
+    for row, (_, down) in zip(sums, _prime_powers(1 << max(16, n.bit_length()))):
+        part = _fold(row[ends] - row[starts])
+        part *= down[starts]
+        part = _fold(_fold(part))
+        part += (part + np.uint64(1)) >> np.uint64(31)   # PRIME itself is 0
+        part &= np.uint64(PRIME)
+        whole <<= np.uint64(31)
+        whole |= part
+    return scramble(whole)
+
+
+@quiet
+def quick_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` bytes in a row, to route by: equal stretches have equal ones, and
+    different ones may have."""
+    n = len(data)
+    up, down = powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    return scramble((sums[size:] - sums[:n + 1 - size]) * down[:n + 1 - size])
 
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")

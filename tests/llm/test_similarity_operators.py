@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortkit.llm import components, jaccard, mih, paragraphs, vectors
+from cohortkit.llm import components, jaccard, mih, paragraphs, text, vectors
 from cohortkit.session import checkpoint
 
 DOCS = "doc_id long, text string"
@@ -68,6 +68,26 @@ def test_jaccard_by_brute_force(spark):
     assert jaccard.near_sets(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_patterned_texts_do_not_hash_alike(spark):
+    """Two words built from the same two letters by the parity of bits: alike modulo any power of two, linked by none."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, other), (3, word)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_sets(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_span_hashes_are_the_two_polynomials():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 700).astype(np.uint8)
+    starts = rng.integers(0, 600, 200)
+    ends = starts + rng.integers(0, 100, 200)
+    whole = [sum((int(x) + 1) * pow(b, i, text.PRIME) for i, x in enumerate(data[s:e])) % text.PRIME
+             for s, e in zip(starts, ends) for b in text.BASES]
+    want = text.scramble(np.array([a << 31 | b for a, b in zip(whole[::2], whole[1::2])], np.uint64))
+    assert (text.span_hashes(text.prefix_sums(data), starts, ends) == want).all()
+
+
 def test_group_comparison_by_blocks():
     rng = np.random.default_rng(3)
     centre = np.arange(100)
