@@ -7,12 +7,14 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortkit.functions.distributions import t_p, t_quantile
+from cohortkit.operators.summary import two_by_two
 from cohortkit.sources.lookups import EARLY_CUT
 
 Z95 = 1.959963984540054
+CHI95 = Z95 * Z95       # of one degree of freedom
 
 
 def _long_y(df: DataFrame, keys: Sequence[str], ys: Sequence[str]) -> DataFrame:
@@ -110,30 +112,48 @@ def grouped_logit(df: DataFrame, t: str, events: str, n: str) -> DataFrame:
     return _glr(rows, "binomial", "_rate", [t], link="logit", weightCol="_n")
 
 
+def _profile_bound(side: int) -> Column:
+    """Where the profile likelihood of the log odds ratio falls to the 95 % bound, from cells a to d.
+
+    For a fixed odds ratio the best fit keeps the margins: its cells are a+t, b-t, c-t, d+t for some
+    t.  The deviance grows with t on each side, so t is found by bisection, and gives the ratio."""
+    a, b, c, d = (F.col(v) for v in "abcd")
+
+    def inside(t: Column) -> Column:
+        fitted = ((a, a + t), (b, b - t), (c, c - t), (d, d + t))
+        return 2 * sum(o * (F.log(o) - F.log(f)) for o, f in fitted) < CHI95
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s.near + s.far) / 2
+        within = F.coalesce(inside(mid), F.lit(False))
+        return F.struct(F.when(within, mid).otherwise(s.near).alias("near"),
+                        F.when(within, s.far).otherwise(mid).alias("far"))
+
+    end = F.least(b, c) if side > 0 else -F.least(a, d)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(F.lit(0.0).alias("near"), end.alias("far")), halve,
+                       lambda s: F.log(a + s.near) + F.log(d + s.near) - F.log(b - s.near) - F.log(c - s.near))
+
+
 def odds_ratio(df: DataFrame, ys: Sequence[str] | str, x: str, weight: str | None = None,
-               by: Sequence[str] = ()) -> DataFrame:
-    """Log odds ratio of each 0/1 outcome on a 0/1 exposure, with a Wald interval.
+               by: Sequence[str] = (), interval: str = "wald") -> DataFrame:
+    """Log odds ratio of each 0/1 outcome on a 0/1 exposure, with a Wald or ``profile`` interval.
 
     One binary predictor makes the (weighted) logistic fit a 2x2 table.  An
     empty cell gives NULL estimates.
     """
-    ys = [ys] if isinstance(ys, str) else list(ys)
-    w = F.col(weight) if weight else F.lit(1)
-    cells = (df.withColumn("_w", w).groupBy(*by, x, *ys).agg(F.sum("_w").alias("_w")))
-    long = cells.unpivot([*by, x, "_w"], ys, "outcome", "_y")
-    cell = lambda a, b: F.coalesce(
-        F.sum(F.when((F.col(x) == a) & (F.col("_y") == b), F.col("_w"))), F.lit(0)).cast("double")
-    sums = long.groupBy(*by, "outcome").agg(
-        cell(1, 1).alias("a"), cell(1, 0).alias("b"), cell(0, 1).alias("c"), cell(0, 0).alias("d"))
+    if interval not in ("wald", "profile"):
+        raise ValueError("interval is 'wald' or 'profile'")
+    sums = two_by_two(df, [ys] if isinstance(ys, str) else list(ys), x, weight, by)
     full = F.least("a", "b", "c", "d") > 0
     est = F.when(full, F.log(F.col("a")) - F.log("b") - F.log("c") + F.log("d"))
     se = F.sqrt(F.when(full, 1 / F.col("a") + 1 / F.col("b") + 1 / F.col("c") + 1 / F.col("d")))
-    out = sums.select(*by, "outcome", (F.col("a") + F.col("b") + F.col("c") + F.col("d")).alias("n"),
-                      est.alias("estimate"), se.alias("se"))
-    z = F.lit(Z95)
-    return out.select("*", F.exp("estimate").alias("odds_ratio"),
-                      F.exp(F.col("estimate") - z * F.col("se")).alias("ci_low"),
-                      F.exp(F.col("estimate") + z * F.col("se")).alias("ci_high"))
+    if interval == "wald":
+        low, high = est - Z95 * se, est + Z95 * se
+    else:
+        low, high = F.when(full, _profile_bound(-1)), F.when(full, _profile_bound(1))
+    return sums.select(*by, "outcome", (F.col("a") + F.col("b") + F.col("c") + F.col("d")).alias("n"),
+                       est.alias("estimate"), se.alias("se"), F.exp(est).alias("odds_ratio"),
+                       F.exp(low).alias("ci_low"), F.exp(high).alias("ci_high"))
 
 
 def rubin_pool(estimates: DataFrame, by: Sequence[str] = ("outcome",), est: str = "estimate",

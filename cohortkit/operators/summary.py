@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortkit.functions.distributions import chi_square_p, normal_p
 from cohortkit.functions.expressions import flag
@@ -94,6 +94,67 @@ def chi_square(df: DataFrame, by: str, cols: Sequence[str], with_p: bool = False
     return out.withColumn("p", chi_square_p(F.col("statistic"), F.col("df"))) if with_p else out
 
 
+def two_by_two(df: DataFrame, ys: Sequence[str], x: str, weight: str | None = None,
+               by: Sequence[str] = ()) -> DataFrame:
+    """Per 0/1 outcome (and group), the (weighted) rows of each cell against a 0/1 column.
+
+    a: both 1, b: only ``x``, c: only the outcome, d: neither.  Folded before the unpivot, so the
+    shuffle carries a row per combination of values."""
+    w = F.col(weight) if weight else F.lit(1)
+    cells = df.withColumn("_w", w).groupBy(*by, x, *ys).agg(F.sum("_w").alias("_w"))
+    long = cells.unpivot([*by, x, "_w"], list(ys), "outcome", "_y")
+    cell = lambda a, b: F.coalesce(
+        F.sum(F.when((F.col(x) == a) & (F.col("_y") == b), F.col("_w"))), F.lit(0)).cast("double")
+    return long.groupBy(*by, "outcome").agg(
+        cell(1, 1).alias("a"), cell(1, 0).alias("b"), cell(0, 1).alias("c"), cell(0, 0).alias("d"))
+
+
+#: Beyond this count in a cell that is expected to hold under 5, probabilities are under 1e-300.
+SUPPORT = 1000
+
+
+def _exact_p(k: Column, row: Column, col: Column, n: Column) -> Column:
+    """Two-sided exact p of a 2x2 table: all tables with its margins that are no likelier than it.
+
+    ``row`` and ``col`` are the smaller margins and ``k`` the cell of both, so the cell runs from 0;
+    each probability follows from the one before, relative to that of 0."""
+    grow = lambda w, j: w * (row - j + 1) * (col - j + 1) / (j * (n - row - col + j))
+    places = lambda m: F.sequence(F.lit(1), F.greatest(F.least(m, F.lit(SUPPORT + 1)), F.lit(1)).cast("int"))
+    own = F.aggregate(places(k), F.lit(1.0), lambda w, j: F.when(j <= k, grow(w, j)).otherwise(w))
+    bar = own * (1 + 1e-7)
+    first = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("all"),
+                     F.when(bar >= 1, 1.0).otherwise(0.0).alias("tail"))
+
+    def add(s: Column, j: Column) -> Column:
+        w = grow(s.w, j)
+        return F.struct(w.alias("w"), (s["all"] + w).alias("all"),
+                        (s.tail + F.when(w <= bar, w).otherwise(0.0)).alias("tail"))
+
+    return F.aggregate(places(F.least(row, col)), first, add, lambda s: F.least(s.tail / s["all"], F.lit(1.0)))
+
+
+def exact_2x2(df: DataFrame, by: str, cols: Sequence[str], within: Sequence[str] = (),
+              least: float = 5.0) -> DataFrame:
+    """Per 0/1 column (and group of ``within``): chi-square against a 0/1 group, or the exact test.
+
+    Fisher's exact test takes the place of chi-square where an expected count is under ``least``.
+    Rows with a missing value are left out; a table with an empty margin has no test (NULL).
+    """
+    cells = two_by_two(df, cols, by, by=within)
+    a, b, c, d = (F.col(v) for v in "abcd")
+    n, row, col = a + b + c + d, F.least(a + b, c + d), F.least(a + c, b + d)
+    k = (F.when(a + b <= c + d, F.when(a + c <= b + d, a).otherwise(b))
+         .otherwise(F.when(a + c <= b + d, c).otherwise(d)))
+    expected = F.when((row > 0) & (col > 0), row * col / n)
+    exact = expected < least
+    gap = a * d - b * c
+    return cells.select(
+        *within, F.col("outcome").alias("variable"), n.cast("long").alias("n"), expected.alias("least_expected"),
+        F.when(exact, "exact").when(expected.isNotNull(), "chi-square").alias("test"),
+        F.when(~exact, n * gap * gap / ((a + b) * (c + d) * (a + c) * (b + d))).alias("statistic"),
+        F.when(exact, _exact_p(k, row, col, n)).alias("p_exact"))
+
+
 def extreme_months_chisq(stats: DataFrame, month: str = "reporting_period",
                          correct: bool = True, with_p: bool = False) -> DataFrame:
     """The months with the highest and lowest rate, and the 2x2 chi-square between them.

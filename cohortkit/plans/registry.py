@@ -11,7 +11,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortkit.functions.expressions import month_index
+from cohortkit.functions.expressions import logistic, month_index
 from cohortkit.operators import (analysis, checks, cohort, exposure, gam, impute, matching,
                                  regression, rules, summary, timeline, trends, weighting)
 from cohortkit.plans import effects
@@ -237,6 +237,17 @@ def _gam_calibration(e: DataFrame) -> DataFrame:
     return trends.calibration_bins(scored, "pred")
 
 
+def _gam_margins(e: DataFrame) -> DataFrame:
+    """Events that the exposure model fits, in all rows and per flag and gender: those observed, for
+    terms without a penalty."""
+    rows, fit = _gam(e)
+    flags = [F.when(F.col(c) == 1, c) for c in effects.EARLY]
+    scored = fit.predict(rows).where(F.col("link").isNotNull()).select(
+        F.explode(F.array_compact(F.array(F.lit("all"), F.col("gender_concept_name"), *flags))).alias("term"),
+        logistic(F.col("link")).alias("p"))
+    return scored.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("p"), 1).alias("events"))
+
+
 def _match(e: DataFrame) -> DataFrame:
     scored = _true_link(e).withColumn("score", F.col("link") + F.col("age") / 1000
                                       + F.col("sdoh2") / 10000)
@@ -299,11 +310,16 @@ ENCOUNTERS: dict[str, Query] = {
     "poisson_trend": _stays(lambda e: regression.poisson_trend(
         _month_frame(e), "t", "target_count", "encounter_count").drop("p")
         .withColumn("statistic", F.round("statistic", 4))),
+    "poisson_trend_late": _stays(lambda e: regression.poisson_trend(
+        _month_frame(e).where(F.col("t") > 40), "t", "target_count", "encounter_count").drop("p")
+        .withColumn("statistic", F.round("statistic", 4))),
     "grouped_logit": _stays(lambda e: regression.grouped_logit(
         trends.center_month(e).withColumn("t", month_index(F.col("reporting_period"), ORIGIN)),
         "t", "exposure_count", "case_count").drop("p")
         .withColumn("statistic", F.round("statistic", 4))),
     "odds_ratio": _stays(lambda e: regression.odds_ratio(e, OUTCOMES, "target")),
+    "odds_ratio_profile": _stays(lambda e: regression.odds_ratio(
+        e, OUTCOMES, "target", by=["region"], interval="profile")),
     "odds_ratio_weighted": _stays(lambda e: regression.odds_ratio(
         _weighted(e), OUTCOMES[:3], "target", "weight")),
     "rubin_pool": _stays(_pooled, 4),
@@ -324,6 +340,8 @@ ENCOUNTERS: dict[str, Query] = {
         e, "target", ["age", "bmi", "wbc", "total_length_of_stay"]), 4),
     "chi_square": _stays(lambda e: summary.chi_square(
         e, "target", ["race_ethnicity", "pct_group", "obesity", *OUTCOMES])),
+    "exact_2x2": _stays(lambda e: summary.exact_2x2(
+        e, "target", [*OUTCOMES, *FLAGS], ["data_partner_id", "reporting_period"])),
     "extreme_months_chisq": _stays(lambda e: summary.extreme_months_chisq(trends.month_stats(e))),
     "impute_mean": _stays(lambda e: impute.impute_mean(e, ["bmi", "wbc"])
                           .select("person_id", "bmi", "wbc"), 4),
@@ -332,6 +350,7 @@ ENCOUNTERS: dict[str, Query] = {
     "gam_logit": _stays(_gam_terms),
     "gam_link": _stays(_gam_link),
     "gam_calibration": _stays(_gam_calibration),
+    "gam_margins": _stays(_gam_margins),
     "gam_region_effect": _stays(_region_model),
     "gam_measured_group": _stays(_pct_model),
     "propensity_match": _stays(_match),

@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from cohortkit.functions import distributions, ordering
-from cohortkit.operators import regression, weighting
+from cohortkit.operators import regression, summary, weighting
 
 
 def frame(spark, schema, *rows):
@@ -220,3 +220,66 @@ def test_chi_square_counts_levels_and_groups(spark):
                                "g int, v string")
     got = summary.chi_square(df, "g", ["v"]).first()
     assert got["df"] == 1 and abs(got["statistic"] - 60 * (2 * 100 / 900 + 2 * 400 / 900 - 1)) < 1e-9
+
+
+# --- exact test and profile intervals ----------------------------------------------------
+
+def _table_rows(spark, tables):
+    """One group per (a, b, c, d): x and y as 0/1 rows."""
+    rows = [(g, x, y) for g, (a, b, c, d) in enumerate(tables)
+            for x, y, n in ((1, 1, a), (1, 0, b), (0, 1, c), (0, 0, d)) for _ in range(n)]
+    return spark.createDataFrame(rows, "g int, x int, y int")
+
+
+def test_exact_test_by_counting(spark):
+    tables = [(3, 1, 1, 3), (0, 5, 7, 2), (8, 2, 1, 5), (1, 40, 6, 300), (2, 0, 0, 9), (30, 20, 25, 31), (0, 4, 0, 9),
+              (12, 1, 5, 0), (5, 1, 12, 0), (0, 12, 1, 5)]
+
+    def by_counting(a, b, c, d):
+        row, col, n = a + b, a + c, a + b + c + d
+        ways = {k: math.comb(row, k) * math.comb(n - row, col - k)
+                for k in range(max(0, row + col - n), min(row, col) + 1)}
+        return sum(w for w in ways.values() if w <= ways[a]) / sum(ways.values())
+
+    got = {r.g: r for r in summary.exact_2x2(_table_rows(spark, tables), "x", ["y"], ["g"]).collect()}
+    for g, (a, b, c, d) in enumerate(tables):
+        row, col, n = min(a + b, c + d), min(a + c, b + d), a + b + c + d
+        if not row * col:
+            assert got[g].test is None and got[g].p_exact is None and got[g].statistic is None
+        elif row * col / n < 5:
+            assert got[g].test == "exact" and got[g].p_exact == pytest.approx(by_counting(a, b, c, d), rel=1e-9)
+        else:
+            assert got[g].test == "chi-square" and got[g].p_exact is None and got[g].statistic > 0
+
+
+def test_exact_test_of_large_margins(spark):
+    counts = spark.createDataFrame([(1, 1, 3), (1, 0, 20_000), (0, 1, 40), (0, 0, 900_000)], "x int, y int, n int")
+    rows = counts.select("x", "y", F.explode(F.sequence(F.lit(1), "n"))).drop("col")
+    r = summary.exact_2x2(rows, "x", ["y"]).first()
+    # a cell expected to hold 0.93 of 43: near Poisson
+    tail = sum(math.exp(-0.9348) * 0.9348 ** k / math.factorial(k) for k in range(3, 40))
+    assert r.test == "exact" and r.p_exact == pytest.approx(tail, rel=0.05)
+    assert summary.exact_2x2(rows.limit(0), "x", ["y"], ["x"]).count() == 0
+
+
+def test_profile_interval_is_where_the_likelihood_falls(spark):
+    tables = [(8, 12, 30, 150), (1, 30, 2, 400), (500, 1, 300, 9), (0, 4, 3, 9)]
+    df = _table_rows(spark, tables)
+    got = {r.g: r for r in regression.odds_ratio(df, "y", "x", by=["g"], interval="profile").collect()}
+    wald = {r.g: r for r in regression.odds_ratio(df, "y", "x", by=["g"]).collect()}
+
+    def log_likelihood(beta, a, b, c, d):
+        lo, hi = -60.0, 60.0
+        for _ in range(200):        # the intercept whose fitted events are those observed
+            mid = (lo + hi) / 2
+            fitted = (a + b) / (1 + math.exp(-mid - beta)) + (c + d) / (1 + math.exp(-mid))
+            lo, hi = (mid, hi) if fitted < a + c else (lo, mid)
+        p, q = 1 / (1 + math.exp(-lo - beta)), 1 / (1 + math.exp(-lo))
+        return a * math.log(p) + b * math.log(1 - p) + c * math.log(q) + d * math.log(1 - q)
+
+    for g, table in enumerate(tables[:3]):
+        best = log_likelihood(got[g].estimate, *table)
+        for end in (got[g].ci_low, got[g].ci_high):
+            assert 2 * (best - log_likelihood(math.log(end), *table)) == pytest.approx(3.841458820694124, abs=1e-5)
+        assert got[g].ci_low < got[g].odds_ratio < got[g].ci_high and got[g].estimate == wald[g].estimate
+    assert got[3].ci_low is None and got[3].estimate is None
