@@ -17,7 +17,7 @@ from cohortkit.operators import (analysis, checks, cohort, exposure, gam, impute
 from cohortkit.plans import effects
 from cohortkit.plans.study import Study, StudyParams
 from cohortkit.session import checkpoint, tune
-from cohortkit.sources import lenses
+from cohortkit.sources import lenses, sink
 from cohortkit.sources.lookups import lookup_table
 from cohortkit.sources.tables import parquet_tables
 
@@ -43,7 +43,8 @@ def neat(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def timeline_study(spark: SparkSession, folder: str, stored_facts: bool = False,
-                   params: StudyParams = PARAMS) -> Study:
+                   params: StudyParams = PARAMS,
+                   keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Study:
     """The study over the timeline lens.
 
     ``stored_facts`` writes the person table once, for results that join it many
@@ -60,7 +61,7 @@ def timeline_study(spark: SparkSession, folder: str, stored_facts: bool = False,
     def lookup(name: str) -> DataFrame:
         return own[name]() if name in own else lookup_table(spark, name)
 
-    return Study(source, lookup, params)
+    return Study(source, lookup, params, keep)
 
 
 def encounter_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,6 +76,11 @@ def _whole_study(build: Callable[[Study], DataFrame]) -> Query:
     return lambda spark, folder: neat(build(timeline_study(spark, folder, stored_facts=True)))
 
 
+def _stored_study(build: Callable[[Study], DataFrame]) -> Query:
+    return lambda spark, folder: neat(build(timeline_study(
+        spark, folder, stored_facts=True, keep=sink.bucketed_keep(buckets=16))))
+
+
 def _stays(build: Callable[[DataFrame], DataFrame], digits: int = 6) -> Query:
     return lambda spark, folder: neat(build(encounter_rows(spark, folder)), digits)
 
@@ -148,6 +154,7 @@ TIMELINE: dict[str, Query] = {
     "weighted_score": _study(lambda s: analysis.weighted_score(s.base_cohort)),
     "analysis_cohort": _whole_study(lambda s: s.wide),
     "apply_exclusions": _whole_study(lambda s: s.main),
+    "stored_exclusions": _stored_study(lambda s: s.main),
     "sensitivity_frame": _whole_study(lambda s: s.sensitivity),
     "prefix_region": _study(lambda s: s.regions),
     "condition_rates": _study(_early_rates),
@@ -256,6 +263,18 @@ def _match(e: DataFrame) -> DataFrame:
         caliper=0.2, exact=["CCI"])
 
 
+def _match_summary(e: DataFrame) -> DataFrame:
+    """Per stratum: matched units of each arm, the lowest treated score among them, pairs beyond the caliper."""
+    matched = _match(e)
+    pairs = matched.groupBy("CCI", "subclass").agg(
+        F.max(F.when(F.col("target") == 1, F.col("distance"))).alias("t"),
+        F.max(F.when(F.col("target") == 0, F.col("distance"))).alias("c"),
+        F.count_if(F.col("target") == 1).alias("n_t"), F.count_if(F.col("target") == 0).alias("n_c"))
+    return pairs.groupBy("CCI").agg(
+        F.sum("n_t").alias("n_treated"), F.sum("n_c").alias("n_controls"), F.min("t").alias("lowest_treated"),
+        F.count_if(F.coalesce(F.abs(F.col("t") - F.col("c")) > 0.2, F.lit(True))).alias("beyond_caliper"))
+
+
 def _imputed(e: DataFrame) -> DataFrame:
     return impute.impute_chained(
         e, ["bmi", "wbc"], predictors=["age", "CCI", "target", *FLAGS, "hospital_mortality"],
@@ -354,6 +373,7 @@ ENCOUNTERS: dict[str, Query] = {
     "gam_region_effect": _stays(_region_model),
     "gam_measured_group": _stays(_pct_model),
     "propensity_match": _stays(_match),
+    "match_summary": _stays(_match_summary),
     "matched_effects": _stays(lambda e: effects.matched_effects(effects.model_frame(e, ORIGIN))),
     "weighted_effects": _stays(lambda e: effects.weighted_effects(effects.model_frame(e, ORIGIN))),
     "impute_chained": _stays(_imputed),

@@ -11,6 +11,7 @@ import __spark_entry__ as entry_module
 from cohortkit.operators import exposure, summary
 from cohortkit.plans import registry
 from cohortkit.session import checkpoint, shared_folder
+from cohortkit.sources import sink
 
 FOLDER = "/root/testdata/sf0.001"
 with_tables = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables not present")
@@ -103,3 +104,31 @@ def test_checkpoint_cuts_lineage(spark, rows):
     assert rows(kept) == rows(df) and kept.dtypes == df.dtypes
     assert "Range" not in plan_of(kept) and "FileScan parquet" in plan_of(kept)
     assert shared_folder(spark)
+
+
+def test_stored_tables_join_without_a_shuffle(spark, tmp_path):
+    left = spark.range(3000).select((F.col("id") % 300).alias("person_id"), F.col("id").alias("a"))
+    hot = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 300).alias("person_id"),
+                                   (F.col("id") * 2).alias("b"))
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        x = sink.store(left, "scale_left", buckets=8, folder=str(tmp_path))
+        y = sink.store(hot, "scale_hot", buckets=8, folder=str(tmp_path))
+        joined = x.join(y, "person_id").groupBy("person_id").agg(F.count(F.lit(1)).alias("n"))
+        assert "Exchange" not in plan_of(joined)
+        want = left.join(hot, "person_id").groupBy("person_id").agg(F.count(F.lit(1)).alias("n"))
+        assert sorted(joined.collect()) == sorted(want.collect())
+        # written again: replaced; empty: no rows
+        assert sink.store(left.limit(0), "scale_left", buckets=8, folder=str(tmp_path)).count() == 0
+    spark.sql("DROP TABLE scale_left")
+    spark.sql("DROP TABLE scale_hot")
+
+
+@with_tables
+def test_study_datasets_are_stored_by_name(spark, tmp_path):
+    study = registry.timeline_study(spark, FOLDER)
+    stored = sink.write_datasets(study, ["base_cohort", "severity", "rates"], "scale_", buckets=4, folder=str(tmp_path))
+    assert sorted(stored) == ["base_cohort", "rates", "severity"]
+    assert stored["base_cohort"].count() == study.base_cohort.count()
+    assert "Bucketed: true" in plan_of(stored["severity"].groupBy("person_id").count())
+    for name in stored:
+        spark.sql(f"DROP TABLE scale_{name}")
