@@ -50,9 +50,13 @@ def _decide(rules: Sequence[tuple[Column, bool, int]], name: str) -> list[Column
 
 
 def rule_cascade(exposures: DataFrame, routes: DataFrame, rates: DataFrame,
-                 rules: RouteRules = RouteRules()) -> DataFrame:
+                 rules: RouteRules = RouteRules(),
+                 keep: Sequence[str] = ("person_id", "hospital_day", "drug_concept_id",
+                                        "drug_concept_name")) -> DataFrame:
     """Decide enteral and parenteral for every exposure day, and say by which rule.
 
+    ``keep`` names the columns that come along.
+
     Strategies: 1 recorded route, 2 the drug's dominant route, 3 its name, 4 a
     curated list, 5 undecided (False).  The two flags are decided independently,
     so a row can end up with both or neither.
@@ -71,7 +75,7 @@ def rule_cascade(exposures: DataFrame, routes: DataFrame, rates: DataFrame,
     joined = (exposures.join(direct, "route_concept_id", "left")
               .join(usual, "drug_concept_id", "left"))
     return joined.select(
-        "person_id", "hospital_day", "drug_concept_id", "drug_concept_name",
+        *keep,
         *_decide(chain("_e", "_p", "enteral_rate", rules.enteral_parts,
                        rules.enteral_concepts), "is_enteral"),
         *_decide(chain("_p", "_e", "parenteral_rate", rules.parenteral_parts,

@@ -13,7 +13,8 @@ from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortkit.operators import analysis, cohort, exposure, rules, timeline, trends
+from cohortkit.functions.expressions import flag, month_start
+from cohortkit.operators import analysis, cohort, exposure, record, rules, timeline, trends
 from cohortkit.sources import lookups
 
 # Names in the published person-level fact table -> names used here.
@@ -206,7 +207,7 @@ class Study:
 
     @cached_property
     def parts(self) -> list[DataFrame]:
-        """The eleven per-person results the wide frame joins."""
+        """The eleven per-person results the wide frame is made of, each on its own."""
         p, src = self.p, self.src
         return [
             self.exposure_counts,
@@ -229,6 +230,26 @@ class Study:
                                  "condition_start_date", "late_onset"),
         ]
 
+    @cached_property
+    def record(self) -> DataFrame:
+        """The same results in one pass: each event table is read once (drugs once more, for the
+        route rates), and all listed events are shuffled once, by person."""
+        p, src = self.p, self.src
+        members = src("members")
+        severity = {"imv": cohort.concept_set(members, set_name=p.ventilation_set),
+                    "ecmo": cohort.concept_set(members, set_name=p.ecmo_set)}
+        events = [
+            record.drug_events(src("drugs"), self._set(p.antibiotics), self._set(p.extended_spectrum),
+                               self._set(p.vasopressors), self.lookup("routes"), self.rates, p.rules),
+            record.condition_events(src("conditions"), src("injuries"), p.late_infections),
+            record.coded_events(src("procedures"), "procedure_concept_id", "procedure_date",
+                                {**severity, "procedure": src("major_procedures")}),
+            record.coded_events(src("observations"), "observation_concept_id", "observation_date",
+                                {**severity, "trauma_observation": src("injuries")}),
+            record.lab_events(src("measurements"), self.lookup("labs"), tie=p.lab_tie),
+        ]
+        return record.person_record(events, self.base_cohort, p.lab_cut, p.long_episode)
+
     @cached_property
     def regions(self) -> DataFrame:
         return analysis.prefix_region(self.src("zips"), self.lookup("states"),
@@ -236,7 +257,7 @@ class Study:
 
     @cached_property
     def wide(self) -> DataFrame:
-        return self.keep(analysis.analysis_cohort(self.base_cohort, self.parts, self.regions))
+        return self.keep(analysis.analysis_cohort(self.base_cohort, [self.record], self.regions))
 
     @cached_property
     def site_counts(self) -> DataFrame:
@@ -258,5 +279,9 @@ class Study:
     @cached_property
     def course_for_cohort(self) -> DataFrame:
         p = self.p
-        members = analysis.eligible(self.wide, p.start, p.end, p.min_site_rows, self.site_counts)
+        # the outcome and the exclusions of the wide frame need only the exposure counts
+        stays = self.base_cohort.join(self.exposure_counts, "person_id", "left").select(
+            "person_id", "data_partner_id", month_start(F.col("index_start")).alias("reporting_period"),
+            flag(F.col("parenteral_days_to_day_4") > 4).alias("outcome_iv_day4"))
+        members = analysis.eligible(stays, p.start, p.end, p.min_site_rows, self.site_counts)
         return timeline.course_for_cohort(self.course_durations, members, ["outcome_iv_day4"])
