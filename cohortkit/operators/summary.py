@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortkit.functions.distributions import chi_square_p, normal_p
 from cohortkit.functions.expressions import flag
-from cohortkit.functions.ordering import cumulative_counts, known_number, null_safe_join, value_quantiles
+from cohortkit.functions.ordering import (bucketed_row_number, cumulative_counts, known_number,
+                                          null_safe_join, value_quantiles)
 from cohortkit.session import checkpoint
 
 MISSING = "(Missing)"
@@ -155,6 +157,79 @@ def exact_2x2(df: DataFrame, by: str, cols: Sequence[str], within: Sequence[str]
         F.when(exact, _exact_p(k, row, col, n)).alias("p_exact"))
 
 
+def level_order(counts: DataFrame, keys: Sequence[str], level: str = "level", n: str = "n",
+                name: str = "seq") -> DataFrame:
+    """Number the levels of a column from the most frequent on, ties by name.
+
+    ``counts`` holds one row per key and level.  Numbered inside powers of two of the count and
+    shifted, so a column with very many levels is not sorted in one task."""
+    ranked = counts.withColumn("_down", -F.col(n))
+    return bucketed_row_number(ranked, keys, -F.floor(F.log2(n)), ["_down", level], name).drop("_down")
+
+
+def summary_table(df: DataFrame, by: str, continuous: Sequence[str] = (), dichotomous: Sequence[str] = (),
+                  categorical: Sequence[str] = (), levels: Sequence = (0, 1)) -> DataFrame:
+    """One table of all variables: known rows, statistics per group, levels, unknown rows and p.
+
+    ``continuous`` columns get a row with quartiles and the rank-sum p; 0/1 ``dichotomous`` columns the
+    row of value 1 with the exact 2x2 p where an expected count is under 5, else chi-square's;
+    ``categorical`` columns a row per level, most frequent first, with chi-square's p.  ``n`` counts a variable's
+    known rows; a variable with missing values gets a last row with level Unknown.  Rows of other groups
+    are left out.  Without any rows only continuous variables are listed, with n 0.
+    """
+    rows = checkpoint(df.where(F.col(by).isin(*levels)).select(
+        flag(F.col(by) == levels[1]).alias("_arm"), *(F.col(c).cast("double").alias(c) for c in continuous),
+        *(F.col(c).cast("int").alias(c) for c in dichotomous), *(F.col(c).cast("string").alias(c) for c in categorical)))
+
+    def sides(table: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+        return table.groupBy(*keys).agg(*(F.max(F.when(F.col("_arm") == arm, F.col(c))).alias(f"{c}_{arm}")
+                                          for c in cols for arm in (0, 1)))
+
+    listed = [*continuous, *dichotomous, *categorical]
+    unknown = rows.groupBy("_arm").agg(*(
+        F.count_if(~known_number(c) if c in continuous else F.col(c).isNull()).alias(c) for c in listed))
+    missing = sides(unknown.unpivot(["_arm"], listed, "variable", "n"), ["variable"], ["n"])
+    parts = [missing.where((F.col("n_0") > 0) | (F.col("n_1") > 0))
+             .withColumns({"level": F.lit("Unknown"), "seq": F.lit(None).cast("int")})]
+    tests = []
+    if continuous:
+        parts.append(sides(table1_continuous(rows, "_arm", continuous), ["variable"],
+                           ["n", "p25", "median", "p75"]).withColumn("seq", F.lit(0)))
+        tests.append(rank_sum(rows, "_arm", continuous, with_p=True).select("variable", "p"))
+    if dichotomous or categorical:
+        cells = table1_categorical(rows, "_arm", [*dichotomous, *categorical])
+        table = sides(cells, ["variable", "level"], ["n", "pct"]).fillna(0)
+        order = level_order(cells.groupBy("variable", "level").agg(F.sum("n").alias("n")), ["variable"])
+        parts.append(table.join(order.select("variable", "level", "seq"), ["variable", "level"])
+                     .where(~F.col("variable").isin(list(dichotomous)) | (F.col("level") == "1")))
+    if dichotomous:
+        exact = exact_2x2(rows, "_arm", dichotomous)
+        tests.append(exact.select("variable", F.coalesce(
+            "p_exact", chi_square_p(F.col("statistic"), F.lit(1))).alias("p")))
+    if categorical:
+        chi = chi_square(rows, "_arm", categorical, with_p=True)
+        tests.append(chi.select("variable", F.when(F.col("df") > 0, F.col("p")).alias("p")))
+    known = rows.agg(*(F.count_if(known_number(c) if c in continuous else F.col(c).isNotNull()).alias(c)
+                       for c in listed)).unpivot([], listed, "variable", "n")
+    places = df.sparkSession.createDataFrame(list(enumerate(listed)), "position int, variable string")
+    body = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if continuous:
+        # a variable without a known value still has its row
+        bare = places.where(F.col("variable").isin(list(continuous))).select("variable", F.lit(0).alias("seq"))
+        body = bare.join(body, ["variable", "seq"], "full")
+    empty = {c: F.lit(None).cast(kind) for c, kind in (
+        ("level", "string"), *((f"{c}_{arm}", "double") for c in ("pct", "p25", "median", "p75") for arm in (0, 1)))
+        if c not in body.columns}
+    body = body.withColumns(empty) if empty else body
+    return (body.join(places, "variable").join(known, "variable")
+            .join(reduce(DataFrame.unionByName, tests), "variable", "left")
+            .select("position", "variable", F.col("seq").cast("int").alias("seq"), "level", "n", *(
+                c if not c.startswith("n_") else F.coalesce(c, F.lit(0)).alias(c)
+                for c in (f"{stat}_{arm}" for stat in ("n", "pct", "p25", "median", "p75") for arm in (0, 1))),
+                F.when(F.col("level").isNull() | (F.col("level") != "Unknown") | F.col("seq").isNotNull(),
+                       F.col("p")).alias("p")))
+
+
 def extreme_months_chisq(stats: DataFrame, month: str = "reporting_period",
                          correct: bool = True, with_p: bool = False) -> DataFrame:
     """The months with the highest and lowest rate, and the 2x2 chi-square between them.

@@ -11,7 +11,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortkit.functions.expressions import logistic, month_index
+from cohortkit.functions.expressions import flag, logistic, month_index
 from cohortkit.operators import (analysis, checks, cohort, exposure, gam, impute, matching,
                                  regression, rules, summary, timeline, trends, weighting)
 from cohortkit.plans import effects
@@ -192,6 +192,11 @@ def _true_link(e: DataFrame) -> DataFrame:
     return e.withColumn("link", F.log(p / (1 - p)))
 
 
+def _any_route(e: DataFrame) -> DataFrame:
+    """Exposure by any route: more than 3 of the first 6 days."""
+    return e.withColumn("target", flag(F.col("any_days_to_day_5") > 3))
+
+
 def _weighted(e: DataFrame) -> DataFrame:
     return weighting.iptw(_true_link(e), "link", cap=4.0)
 
@@ -337,6 +342,9 @@ ENCOUNTERS: dict[str, Query] = {
         "t", "exposure_count", "case_count").drop("p")
         .withColumn("statistic", F.round("statistic", 4))),
     "odds_ratio": _stays(lambda e: regression.odds_ratio(e, OUTCOMES, "target")),
+    "odds_ratio_any_route": _stays(lambda e: regression.odds_ratio(_any_route(e), OUTCOMES, "target")),
+    "balance_any_route": _stays(lambda e: weighting.balance_table(
+        _any_route(e), "target", ["age", "CCI", "bmi", "wbc"], [*FLAGS, "race_ethnicity"])),
     "odds_ratio_profile": _stays(lambda e: regression.odds_ratio(
         e, OUTCOMES, "target", by=["region"], interval="profile")),
     "odds_ratio_weighted": _stays(lambda e: regression.odds_ratio(
@@ -355,6 +363,11 @@ ENCOUNTERS: dict[str, Query] = {
                      F.nullif(F.col("gender_concept_name"), F.lit("UNKNOWN_OTHER"))), "target",
         ["gender_concept_name", "race_ethnicity", "pct_group", "obesity", "smoker", *FLAGS,
          *OUTCOMES])),
+    "summary_table": _stays(lambda e: summary.summary_table(
+        e.withColumn("gender_concept_name",
+                     F.nullif(F.col("gender_concept_name"), F.lit("UNKNOWN_OTHER"))), "target",
+        ["age", "total_length_of_stay", "bmi", "sdoh2", "CCI", "wbc"], ["obesity", "smoker", *FLAGS, *OUTCOMES],
+        ["gender_concept_name", "race_ethnicity", "pct_group"])),
     "rank_sum": _stays(lambda e: summary.rank_sum(
         e, "target", ["age", "bmi", "wbc", "total_length_of_stay"]), 4),
     "chi_square": _stays(lambda e: summary.chi_square(
@@ -374,6 +387,10 @@ ENCOUNTERS: dict[str, Query] = {
     "gam_measured_group": _stays(_pct_model),
     "propensity_match": _stays(_match),
     "match_summary": _stays(_match_summary),
+    "any_route_imputed_effects": _stays(lambda e: effects.imputed_matched_effects(
+        effects.model_frame(_any_route(e), ORIGIN), "mean")[0]),
+    "any_route_imputed_balance": _stays(lambda e: effects.imputed_matched_effects(
+        effects.model_frame(_any_route(e), ORIGIN), "mean")[1]),
     "matched_effects": _stays(lambda e: effects.matched_effects(effects.model_frame(e, ORIGIN))),
     "weighted_effects": _stays(lambda e: effects.weighted_effects(effects.model_frame(e, ORIGIN))),
     "impute_chained": _stays(_imputed),
