@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 import sys
 import zlib
@@ -34,23 +35,30 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     control words: their strings in a text are their ids.
 
     The file's vocabulary is handed to ``tiktoken`` as ranks: the ids are the same (the tests
-    compare them) at four times the speed.  Kept for the life of a Python worker.
+    compare them) at four times the speed.  Kept for the life of a Python worker; the library's own
+    tokenizer, which takes several times the memory, is read where a text needs it.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
-    loaded = Tokenizer.from_file(path)
-    special = {t.content: i for i, t in loaded.get_added_tokens_decoder().items()}
+    with open(path, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     fast = tiktoken.Encoding("file", pat_str=RULE, mergeable_ranks=read_json_ranks(path), special_tokens=special)
 
     def encode(text: str) -> list[int]:
         if LONG_SPACE.search(text):
-            return loaded.encode(text, add_special_tokens=False).ids
+            return plain_tokenizer(path).encode(text, add_special_tokens=False).ids
         return fast.encode(text, allowed_special="all")
 
     return encode
 
 
+@functools.cache
+def plain_tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and ``end_id``, cut to
     pieces of ``size`` ids if longer; the first piece takes what does not fill one.
