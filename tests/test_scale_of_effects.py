@@ -1,5 +1,6 @@
 """Effect queries read their source once, score without repeating expressions, and walk scores in little memory."""
 
+import threading
 import tracemalloc
 
 import numpy as np
@@ -41,6 +42,30 @@ def test_imputed_effects_read_their_source_once(spark, monkeypatch):
     assert balance.count() > 0 and read.value == n
 
 
+def test_imputed_copies_are_matched_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 60
+    flags = [*effects.EARLY, "obesity", "smoker", "target", *effects.OUTCOMES]
+    pdf = pd.DataFrame({"person_id": np.arange(n), "month": 0, "race_ethnicity": "x", "age": rng.integers(20, 90, n),
+                        "CCI": rng.integers(0, 9, n), **{c: rng.integers(0, 2, n) for c in flags},
+                        "wbc": np.where(rng.random(n) < 0.2, np.nan, rng.normal(9, 2, n)), "bmi": rng.normal(28, 4, n)})
+    both, seen = threading.Barrier(2), []
+
+    def match(copy, *args, **kwargs):
+        both.wait(60)                                              # for the match of the other copy
+        seen.append(spark.sparkContext.getLocalProperty("asked_by"))
+        return effects.Matched(copy, None)
+
+    monkeypatch.setattr(effects, "match_on_gam", match)
+    spark.sparkContext.setLocalProperty("asked_by", "test")
+    try:
+        pooled, _ = effects.imputed_matched_effects(spark.createDataFrame(pdf), m=2, iters=1)
+    finally:
+        spark.sparkContext.setLocalProperty("asked_by", None)
+    assert {(r.outcome, r.m) for r in pooled.collect()} <= {(y, 2) for y in effects.OUTCOMES}
+    assert seen == ["test", "test"]
+
+
 def test_walking_takes_little_memory():
     rng = np.random.default_rng(1)
     n = 60_000
