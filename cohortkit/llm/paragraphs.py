@@ -375,10 +375,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     words = (docs.select(*row_key("doc_id", "text"), "text").join(wanted, ["k1", "k2"]).select("text", "w")
              .mapInPandas(around, "h long, before binary, after binary").dropDuplicates(["h"]))
-    copies = (table.join(kept.join(words, "h"), "h")
-              .filter("k1 <> a1 OR k2 <> a2 OR run <> own"))
+    # stored, so that the texts' shuffle is gone before the copies travel, and Spark may split the join of a hot hash
+    sources = settle(kept.join(words, "h"))
+    discard(kept)
+    copies = table.join(sources, "h").filter("k1 <> a1 OR k2 <> a2 OR run <> own")
     found = settle(copies.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "before", "after")).alias("anchors")))
-    discard(table, kept)
+    discard(table, sources)
     return found
 
 
