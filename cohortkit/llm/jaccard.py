@@ -32,15 +32,28 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(lower_words(text), size))
 
 
+def repeated(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, counts) of what stands more than once in all arrays together; empties the list.
+
+    Sorts in place: most shingles stand once, and unique values with their places would take
+    several times the room."""
+    values = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    found.clear()
+    values.sort()
+    same = values[1:] == values[:-1]
+    first = np.flatnonzero(same & ~np.r_[False, same][:-1])
+    last = np.flatnonzero(same & ~np.r_[same, False][1:])
+    return values[first], last - first + 2
+
+
 def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, rank) of the shingles that repeat most within batches of documents, sorted by
     hash; the rank grows with the count.  Counted over all documents, kept to ``FREQUENT``."""
     @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [shingle_set(t, size) for t in batch["text"]]
-            values, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield pd.DataFrame({"token": values[n > 1].view(np.int64), "n": n[n > 1].astype(np.int64)})
+            values, n = repeated([shingle_set(t, size) for t in batch["text"]])
+            yield pd.DataFrame({"token": values.view(np.int64), "n": n.astype(np.int64)})
 
     top = (docs.select("text").mapInPandas(count, "token long, n long").groupBy("token")
            .agg(F.sum("n").alias("n")).filter("n >= 4").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas())
@@ -70,15 +83,18 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     @lean
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [shingle_set(t, size) for t in batch["text"]]
-            with np.errstate(over="ignore"):
-                s1 = [int(f.sum(dtype=np.uint64).view(np.int64)) for f in found]
-                s2 = [int(((f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).sum(dtype=np.uint64)
-                          .view(np.int64)) for f in found]
-            yield pd.DataFrame({
-                "k1": batch["k1"], "k2": batch["k2"], "doc_id": batch["doc_id"].astype("Int64"),
-                "n": [len(f) for f in found], "s1": s1, "s2": s2,
-                "tokens": [prefix(f).view(np.int64) for f in found]})
+            n, s1, s2, tokens = [], [], [], []
+            for text in batch["text"]:
+                # of a whole set only its size, sums and prefix are held
+                f = shingle_set(text, size)
+                with np.errstate(over="ignore"):
+                    s1.append(int(f.sum(dtype=np.uint64).view(np.int64)))
+                    s2.append(int(((f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).sum(dtype=np.uint64)
+                                  .view(np.int64)))
+                n.append(len(f))
+                tokens.append(prefix(f).view(np.int64).copy())
+            yield pd.DataFrame({"k1": batch["k1"], "k2": batch["k2"], "doc_id": batch["doc_id"].astype("Int64"),
+                                "n": n, "s1": s1, "s2": s2, "tokens": tokens})
 
     keyed = docs.select(*row_key("doc_id", "text"), "doc_id", "text")
     return settle(keyed.mapInPandas(sets, SET_SCHEMA).withColumn("uid", F.monotonically_increasing_id()))

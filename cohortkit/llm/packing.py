@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import sys
@@ -14,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from cohortkit.llm.bpe import read_json_ranks
-from cohortkit.llm.text import lean
+from cohortkit.llm.text import lean, worker_cache
 from cohortkit.session import checkpoint
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -29,13 +28,13 @@ RULE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 LONG_SPACE = re.compile(r"\s{10000}")
 
 
-@functools.cache
+@worker_cache
 def encoder(path: str) -> Callable[[str], list[int]]:
     """Ids of a text by a byte-level BPE file of the ``tokenizers`` library, with its default reading of
     control words: their strings in a text are their ids.
 
     The file's vocabulary is handed to ``tiktoken`` as ranks: the ids are the same (the tests
-    compare them) at four times the speed.  Kept for the life of a Python worker; the library's own
+    compare them) at four times the speed.  Kept in a Python worker while it packs; the library's own
     tokenizer, which takes several times the memory, is read where a text needs it.
     """
     import tiktoken
@@ -52,7 +51,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     return encode
 
 
-@functools.cache
+@worker_cache
 def plain_tokenizer(path: str):
     from tokenizers import Tokenizer
 

@@ -131,12 +131,32 @@ def give_back() -> None:
         trim(0)
 
 
+_TABLES: list[Callable] = []
+
+
+def worker_cache(f: Callable) -> Callable:
+    """Keep results in a Python worker until it works for another module's operator."""
+    cached = functools.cache(f)
+    _TABLES.append(cached)
+    return cached
+
+
+def make_room(module: str) -> None:
+    """Forget what was kept by ``worker_cache`` for operators of other modules."""
+    idle = [f for f in _TABLES if f.__module__ != module and f.cache_info().currsize]
+    for f in idle:
+        f.cache_clear()
+    if idle:
+        give_back()
+
+
 def lean(f: Callable) -> Callable:
     """For functions over a partition's batches: give memory back when the partition is done.
 
     Python workers are used again by later tasks and would keep the most they ever held."""
     @functools.wraps(f)
     def run(batches: Iterator) -> Iterator:
+        make_room(f.__module__)
         yield from f(batches)
         give_back()
     return run

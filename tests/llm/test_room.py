@@ -1,8 +1,12 @@
-"""Disk that the operators for training data hold at once."""
+"""Disk and memory that the operators for training data hold at once."""
 
 import re
+import tracemalloc
 
-from cohortkit.llm import paragraphs
+import numpy as np
+
+from cohortkit.llm import jaccard, packing, paragraphs, text
+from cohortkit.llm.queries import tokenizer_path
 
 
 def test_copied_passages_do_not_travel_with_the_texts(spark, monkeypatch):
@@ -21,3 +25,33 @@ def test_copied_passages_do_not_travel_with_the_texts(spark, monkeypatch):
     # one join, of two stored tables, so that a hot hash can be split
     assert "collect_set(" in last and "MapInPandas" not in last
     assert len(re.findall(r"\bJoin ", last)) == 1
+
+
+def test_repeated_shingles_in_little_memory():
+    rng = np.random.default_rng(2)
+    found = [np.unique(rng.integers(0, 1 << 62, 20_000, dtype=np.uint64)) for _ in range(50)]
+    found += [found[3][:500].copy(), found[3][:200].copy(), np.zeros(0, np.uint64)]
+    values, n = np.unique(np.concatenate(found), return_counts=True)
+    values, n, size = values[n > 1], n[n > 1], sum(x.nbytes for x in found)
+    tracemalloc.start()
+    got, counts = jaccard.repeated(found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == values).all() and (counts == n).all() and set(counts) == {2, 3}
+    assert peak < 1.6 * size
+    assert len(jaccard.repeated([])[0]) == 0
+
+
+def test_a_worker_forgets_the_tables_of_other_operators():
+    packing.encoder(tokenizer_path())
+
+    def of(module):
+        def f(batches):
+            yield from batches
+        f.__module__ = module
+        return text.lean(f)
+
+    list(of(packing.__name__)(iter([1])))
+    assert packing.encoder.cache_info().currsize == 1
+    list(of(jaccard.__name__)(iter([1])))
+    assert packing.encoder.cache_info().currsize == 0
