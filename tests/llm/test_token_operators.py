@@ -367,3 +367,60 @@ def test_blocks_keep_all_rows():
               pd.DataFrame({"doc_id": [], "text": []}), pd.DataFrame({"doc_id": [9, 10], "text": [None, "b"]})]
     got = list(align.blocks(iter(frames), 10))
     assert [int(i) for f in got for i in f["doc_id"]] == [0, 1, 2, 3, 4, 9, 10] and len(got) > 2
+
+
+MIXED = ["हिन्दी में लिखा", "ภาษาไทย", "x=1; y_2->z", "don't we'll", "naïve e\u0301te\u0301", "漢字かな交じり文。", "  a\n\n\tb", "…—“q”",
+         "3.14159", "العربية", "한국어 조사", "a▁b", "\u3000 x", "www.x-y.org/?q=1&r", "🙂🙂", "\x00\x01"]
+
+
+def test_a_unit_is_tokenised_and_aligned_once(tokenize, monkeypatch):
+    a, b = align.models(tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    align.units.cache_clear()
+    asked = []
+    for name, model in (("a", a), ("b", b)):
+        monkeypatch.setattr(model, "ids", lambda units, ids=model.ids: asked.extend(units) or ids(units))
+    texts = ["some words, some other words.\n" * 300, "other words", "a▁b other", None]
+    x = align.align_texts(texts, a, b)
+    assert np.diff(x.a_start)[[1, 2, 3]].tolist() == [2, 0, 0] and x.a_start[1] > 2000
+    assert sum(len("".join(u)) for u in asked) < 200
+    n = len(asked)
+    assert align.align_texts(texts[::-1], a, b).groups == x.groups[::-1] and len(asked) == n
+
+
+def test_units_give_what_whole_texts_give(tokenize, monkeypatch):
+    paths = tokenizer_path(), tokenizer_path("piece_bpe_32k.model")
+    a, b = align.models(*paths)
+    with monkeypatch.context() as m:
+        m.setattr(align.PieceModel, "_open", lambda self, path: None)
+        whole = align.PieceModel(paths[1])
+    assert b.reach is not None and whole.reach is None
+    rng = random.Random(11)
+    texts = [rng.choice(["", " "]).join(rng.choices(MIXED, k=rng.randrange(1, 9))) for _ in range(400)] + random_texts(100, 5) + ODD
+    want = align.align_texts(texts, a, whole)
+    assert any(want.groups) and sum(map(len, align.units(a, b).codes.pieces)) > 0
+    monkeypatch.setattr(align, "MEMO", 40)   # units are forgotten all the time
+    align.units.cache_clear()
+    start = 0
+    for i in range(0, len(texts), 25):
+        got = align.align_texts(texts[i:i + 25], a, b)
+        assert got.groups == want.groups[i:i + 25]
+        n = len(got.link_a)
+        assert np.array_equal(got.link_a, want.link_a[start:start + n] - want.a_start[i])
+        assert np.array_equal(got.link_b, want.link_b[start:start + n] - want.b_start[i])
+        start += n
+    known = align.units(a, b)
+    assert any(len(x) > 1 for x in known.codes.pieces) and start == len(want.link_a)
+    assert max(len(known.codes.pieces), int(known.chars.sum()) // 16) < 2000
+    align.units.cache_clear()
+
+
+def test_a_long_unit_is_not_remembered(tokenize, monkeypatch):
+    monkeypatch.setattr(align, "MEMO", 1000)
+    a, b = align.models(tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    align.units.cache_clear()
+    for text in ("x" * 50_000, "▁" * 50_000):
+        x = align.align_texts([text, "short"], a, b)
+        assert (x.a_start[1] > 0) == (text[0] == "x") and x.groups[1]
+        align.align_texts(["short"], a, b)
+        assert align.units(a, b).chars.sum() < 100
+    align.units.cache_clear()
