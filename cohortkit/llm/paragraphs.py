@@ -102,17 +102,24 @@ class Paragraphs:
         n = len(self.starts)
         self.hashes = span_hashes(prefix_sums(_LOWER[data]), self.starts, self.ends) if n else np.zeros(0, np.uint64)
         if n:
-            doc = np.searchsorted(self.begin, self.starts, "right") - 1
-            at = np.arange(n) - np.searchsorted(doc, doc)
-            lines = np.cumsum(data == 10)
-            line = np.diff(lines[self.starts], append=-1) != 0
-            before = np.where(at > 0, np.r_[np.uint64(0), self.hashes[:-1]], np.uint64(0))
-            even = scramble(self.hashes + np.uint64(3) * before) & np.uint64(1) == 0
+            # where each text's words begin, and their numbers from there
+            edge = np.searchsorted(self.starts, [*self.begin, len(data)])
+            doc = np.repeat(np.arange(len(texts)), np.diff(edge))
+            at = np.arange(n) - np.repeat(edge[:-1], np.diff(edge))
+            line = np.zeros(n + 1, bool)
+            line[np.searchsorted(self.starts, np.flatnonzero(data == 10))] = True
+            line[n] = True
+            # what cuts inside lines is asked at stops only
             stop = _STOP[data[self.ends - 1]]
-            near = np.zeros(n, bool)
+            stops = np.flatnonzero(stop)
+            alone = np.ones(len(stops), bool)
             for k in (1, 2, 3):
-                near[k:] |= stop[:-k] & (at[k:] >= k)
-            last = np.flatnonzero(line | (stop & ~near & even))
+                alone &= (at[stops] < k) | ~stop[stops - k]
+            stops = stops[alone]
+            before = np.where(at[stops] > 0, self.hashes[stops - 1], np.uint64(0))
+            cut = line[1:]
+            cut[stops[scramble(self.hashes[stops] + np.uint64(3) * before) & np.uint64(1) == 0]] = True
+            last = np.flatnonzero(cut)
             self.first = np.r_[0, last[:-1] + 1]
             self.last = last
             self.doc = doc[last]
@@ -212,20 +219,25 @@ def chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def paragraph_table(docs: DataFrame) -> DataFrame:
-    """A row per paragraph of at least ``LEAST_WORDS`` words: its place, hashes and band keys."""
+    """A row per paragraph of at least ``LEAST_WORDS`` words: its place, hashes and band keys; and
+    one per text, with idx -1 and the number of all its paragraphs as ``words``."""
+    hashed = ["s1", "s2", *[f"b{i}" for i in range(BANDS)]]
+
     @lean
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = batch[["k1", "k2", "doc_id"]].astype({"doc_id": "Int64"})
+            rows, count = batch[["k1", "k2", "doc_id"]].astype({"doc_id": "Int64"}), np.zeros(len(batch), np.int32)
             for start, texts in chunks(batch["text"]):
                 p = Paragraphs(*texts)
+                count[start:start + len(texts)] = np.bincount(p.doc, minlength=len(texts))
                 which = np.flatnonzero(p.words >= LEAST_WORDS)
                 if len(which):
                     s1, s2, keys = p.signatures(which)
                     own = rows.iloc[start + p.doc[which]].reset_index(drop=True)
-                    hashes = zip(["s1", "s2", *[f"b{i}" for i in range(BANDS)]], [s1, s2, *keys])
+                    hashes = zip(hashed, [s1, s2, *keys])
                     yield own.assign(idx=p.idx[which].astype(np.int32), words=p.words[which].astype(np.int32),
                                      **{n: h.view(np.int64) for n, h in hashes})
+            yield rows.assign(idx=np.int32(-1), words=count, **{name: np.int64(0) for name in hashed})
 
     return settle(docs.select(*row_key("doc_id", "text"), "doc_id", "text").mapInPandas(cut, UNIT_SCHEMA))
 
@@ -294,13 +306,15 @@ def alike(candidates: DataFrame, docs: DataFrame, block: int = 512) -> DataFrame
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """(k1, k2, which): per row content, the paragraphs that copy one kept elsewhere.
+    """(k1, k2, which, n): per row content, the paragraphs that copy one kept elsewhere (none: an
+    empty list), and the number of all its paragraphs.
 
     Paragraphs with the same words are one; those that share a MinHash band are compared
     exactly; components over the links are the clusters, and of each the first paragraph by
     (doc_id, content, place) is kept.  Rows that repeat exactly count once.
     """
-    units = paragraph_table(docs)
+    every = paragraph_table(docs)
+    units = every.filter("idx >= 0")
     # keys under which different paragraphs meet
     small = F.hash("s1")
     banded = F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key")
@@ -312,9 +326,9 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     stands = (units.select("s1", "k1", "k2", "idx").join(met.select("s1").distinct(), "s1", "left_semi")
               .groupBy("s1").agg(F.min(F.struct("k1", "k2", "idx")).alias("u")))
     candidates = settle(met.join(stands, "s1").select("key", "s1", "u.*"))
-    slim = settle(units.select("k1", "k2", "doc_id", "idx", "s1", "s2"))
-    discard(met, units)
-    units = slim
+    slim = settle(every.select("k1", "k2", "doc_id", "idx", "words", "s1", "s2"))
+    discard(met, every)
+    units = slim.filter("idx >= 0")
     exact = units.groupBy("s1", "s2").agg(F.count("*").alias("m")).filter("m > 1").select("s1", "s2")
     near = settle(components(alike(candidates, docs)).toDF("s1", "root"))
     flagged = exact.select("s1").unionByName(near.select("s1")).distinct()
@@ -325,8 +339,10 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     first = members.groupBy("root").agg(F.min(place).alias("kept"))
     copies = members.join(first, "root").filter(
         "NOT (k1 = kept.k1 AND k2 = kept.k2 AND idx = kept.idx)")
-    found = settle(copies.groupBy("k1", "k2").agg(F.collect_set("idx").alias("which")))
-    discard(units, candidates, near, members)
+    counts = slim.filter("idx < 0").select("k1", "k2", F.lit(None).cast("int").alias("idx"), F.col("words").alias("n"))
+    marked = copies.select("k1", "k2", "idx", F.lit(None).cast("int").alias("n")).unionByName(counts)
+    found = settle(marked.groupBy("k1", "k2").agg(F.collect_set("idx").alias("which"), F.max("n").alias("n")))
+    discard(slim, candidates, near, members)
     return found
 
 
@@ -436,18 +452,21 @@ def trimmed(p: Paragraphs, doc: int, which: np.ndarray, anchors: Iterable[dict]
     return left, int(np.logical_or.reduceat(gone, p.first[lo:hi] - first).sum()), int(gone.sum())
 
 
-def without(texts: Iterable[str | None], found: Iterable[np.ndarray | None],
-            passages: Iterable[np.ndarray | None]) -> Iterator[tuple]:
+def without(texts: Iterable[str | None], found: Iterable[np.ndarray | None], passages: Iterable[np.ndarray | None],
+            numbers: Iterable[int]) -> Iterator[tuple]:
     """(text, paragraphs, paragraphs that lost words, removed words) for texts, their copied
-    paragraphs and the anchors of their copied passages."""
-    texts, found, passages = list(texts), list(found), list(passages)
-    for start, some in chunks(texts):
+    paragraphs, the anchors of their copied passages and how many paragraphs they have.  Only texts
+    with copies are cut again."""
+    rows = [(t, *([] if x is None else x for x in (f, a)), int(n)) for t, f, a, n in zip(texts, found, passages, numbers)]
+    again = [i for i, (_, which, anchors, _) in enumerate(rows) if len(which) or len(anchors)]
+    out = [(text, n, 0, 0) for text, _, _, n in rows]
+    for start, some in chunks(rows[i][0] for i in again):
         p = Paragraphs(*some)
-        count = np.bincount(p.doc, minlength=len(some)).tolist()
-        for i, n in enumerate(count):
-            which, anchors = ([] if x is None else x for x in (found[start + i], passages[start + i]))
-            left, gone, words = trimmed(p, i, which, anchors) if len(which) or len(anchors) else (None, 0, 0)
-            yield left if gone else texts[start + i], n, gone, words
+        for doc, i in enumerate(again[start:start + len(some)]):
+            text, which, anchors, n = rows[i]
+            left, gone, words = trimmed(p, doc, which, anchors)
+            out[i] = left if gone else text, n, gone, words
+    yield from out
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -461,17 +480,18 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """
     names = ["n_paragraphs", "n_removed", "words_removed"]
     keep = [c for c in docs.columns if c not in names]
-    found = repeated_paragraphs(docs).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "which")
+    found = repeated_paragraphs(docs).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "which",
+                                              F.col("n").alias("_n"))
     passages = repeated_passages(docs).select(F.col("k1").alias("_p1"), F.col("k2").alias("_p2"), "anchors")
 
     @F.pandas_udf("text string, n_paragraphs long, n_removed long, words_removed long")
-    def cut(texts: pd.Series, which: pd.Series, anchors: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(without(texts, which, anchors), columns=["text", *names])
+    def cut(texts: pd.Series, which: pd.Series, anchors: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(without(texts, which, anchors, n), columns=["text", *names])
 
     k1, k2 = row_key("doc_id", "text")
     rows = docs.select(*keep, k1.alias("_a"), k2.alias("_b"))
     joined = rows.join(found, (F.col("_a") == F.col("_k1")) & (F.col("_b") == F.col("_k2")), "left")
     joined = joined.join(passages, (F.col("_a") == F.col("_p1")) & (F.col("_b") == F.col("_p2")), "left")
-    done = joined.select(*keep, cut(F.col("text"), F.col("which"), F.col("anchors")).alias("_p"))
+    done = joined.select(*keep, cut(F.col("text"), F.col("which"), F.col("anchors"), F.col("_n")).alias("_p"))
     return done.select(*[F.col("_p.text").alias("text") if c == "text" else F.col(c) for c in keep],
                        *[F.col(f"_p.{n}").alias(n) for n in names])

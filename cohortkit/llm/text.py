@@ -13,6 +13,8 @@ BASE = 0x9E3779B97F4A7C15
 #: Stretches of bytes are hashed modulo this prime, once for each base.
 PRIME = (1 << 31) - 1
 BASES = (1_294_871_537, 1_876_104_923)
+#: So many powers of each are kept: one table serves all texts up to this size.
+KEPT_POWERS = 1 << 19
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -58,8 +60,11 @@ def _prime_powers(size: int) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
 
 
 def _fold(x: np.ndarray) -> np.ndarray:
-    """A smaller number that is the same modulo PRIME."""
-    return (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    """A smaller number that is the same modulo PRIME; uses up ``x``."""
+    high = x >> np.uint64(31)
+    x &= np.uint64(PRIME)
+    x += high
+    return x
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -67,7 +72,7 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     n = len(data)
     sums = np.zeros((len(BASES), n + 1), np.uint64)
     symbols = data.astype(np.uint64) + np.uint64(1)
-    for row, (up, _) in zip(sums, _prime_powers(1 << max(16, n.bit_length()))):
+    for row, (up, _) in zip(sums, _prime_powers(max(KEPT_POWERS, 1 << n.bit_length()))):
         np.cumsum(_fold(symbols * up[:n]), out=row[1:])   # terms under 2**32: no overflow in a text
     return sums
 
@@ -80,7 +85,7 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     power stays under 2**64.)"""
     n = sums.shape[1] - 1
     whole = np.zeros(len(starts), np.uint64)
-    for row, (_, down) in zip(sums, _prime_powers(1 << max(16, n.bit_length()))):
+    for row, (_, down) in zip(sums, _prime_powers(max(KEPT_POWERS, 1 << n.bit_length()))):
         part = _fold(row[ends] - row[starts])
         part *= down[starts]
         part = _fold(_fold(part))

@@ -55,3 +55,30 @@ def test_a_worker_forgets_the_tables_of_other_operators():
     assert packing.encoder.cache_info().currsize == 1
     list(of(jaccard.__name__)(iter([1])))
     assert packing.encoder.cache_info().currsize == 0
+
+
+def test_hashing_texts_of_all_sizes_takes_one_table():
+    text._prime_powers.cache_clear()
+    for n in (5, 70_000, 140_000, 300_000, 5, 140_000):
+        sums = text.prefix_sums(np.full(n, 97, np.uint8))
+        assert len(set(text.span_hashes(sums, np.array([0, 1]), np.array([4, 5])).tolist())) == 1
+    assert text._prime_powers.cache_info().misses == 1
+
+
+def test_only_texts_with_copies_are_cut_again(monkeypatch):
+    body = "one two three four five six seven eight nine ten. " * 3
+    cut, texts = [], [body, None, f"{body}\nother {body}", ""]
+    whole = paragraphs.Paragraphs(*[paragraphs._bytes(t) for t in texts])
+    n = np.bincount(whole.doc, minlength=4).tolist()
+
+    class Counted(paragraphs.Paragraphs):
+        def __init__(self, *some):
+            cut.extend(some)
+            super().__init__(*some)
+
+    monkeypatch.setattr(paragraphs, "Paragraphs", Counted)
+    none = np.zeros(0, np.int32)
+    got = list(paragraphs.without(texts, [none, none, np.arange(n[2] - 1), none], [None] * 4, n))
+    assert cut == [texts[2].encode()]
+    assert [g[1] for g in got] == n and [g[0] for g in got][:2] == texts[:2] and got[3] == ("", 0, 0, 0)
+    assert got[2][2] == n[2] - 1 and got[2][0] in texts[2]
