@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortkit.session import checkpoint
+from cohortkit.llm.store import settle
 
 #: Lengths up to the remaining budget are fitted exactly below so many words.
 WINDOW = 1 << 14
@@ -76,7 +76,7 @@ def plan_source(lengths: np.ndarray, counts: np.ndarray, target: float, window:
 def ranked_sources(sizes: DataFrame) -> DataFrame:
     """Number (source, source_size) rows from 0 by code point, null last, without a single task:
     ranges are numbered on their own and shifted by the sizes of those before (one number each)."""
-    dealt = checkpoint(sizes.repartitionByRange(F.asc_nulls_last("source"))
+    dealt = settle(sizes.repartitionByRange(F.asc_nulls_last("source"))
                        .withColumn("part", F.spark_partition_id()))
     before, shift = 0, F.lit(0)
     for part, n in sorted(tuple(r) for r in dealt.groupBy("part").count().collect()):
@@ -91,7 +91,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     ``cap`` times its size; what lies above is dealt again to the others until none is above."""
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)),
                           (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = checkpoint(ranked_sources(sizes).select("source", "source_size", weight.alias("weight")))
+    ranked = settle(ranked_sources(sizes).select("source", "source_size", weight.alias("weight")))
     most = F.col("source_size") * cap
     total = (ranked.agg(F.sum("source_size")).first()[0] or 0) * share
     level, capped = 0.0, -1
@@ -125,8 +125,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     named = ["size", "source_size", "target", "copies"]
     rows = docs.drop(*named).withColumn("size", token_length(F.col("text"))).withColumn(
         "_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    narrow = checkpoint(rows.select("source", "size", "_h"))
-    targets = checkpoint(source_targets(
+    narrow = settle(rows.select("source", "size", "_h"))
+    targets = settle(source_targets(
         narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
     lengths = narrow.groupBy("source", "size").agg(F.count("*").alias("n"))
     same = lengths["source"].eqNullSafe(targets["source"])
-    plans = checkpoint(lengths.join(targets, same).select(lengths["source"], "size", "n", "target")
+    plans = settle(lengths.join(targets, same).select(lengths["source"], "size", "n", "target")
                        .groupBy("source").applyInPandas(plan, PLAN_SCHEMA))
 
     # the hash below which documents of a length are taken: buckets of the hash range are
@@ -157,7 +157,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
             .withColumn("r", F.row_number().over(Window.partitionBy("s", "z").orderBy("u")) + F.col("before"))
             .filter("r = extra").select("s", "z", F.col("u").alias("cut")))
     final = plans.join(cuts, plans["source"].eqNullSafe(cuts["s"]) & (plans["size"] == cuts["z"]), "left")
-    final = checkpoint(final.join(targets.withColumnRenamed("source", "t"), plans["source"].eqNullSafe(F.col("t")))
+    final = settle(final.join(targets.withColumnRenamed("source", "t"), plans["source"].eqNullSafe(F.col("t")))
                        .select(plans["source"].alias("_s"), plans["size"].alias("_z"), "whole", "extra", "n",
                                "cut", "source_size", "target"))
     taken = F.col("whole") + F.when(F.col("extra") >= F.col("n"), F.lit(1)).when(

@@ -5,7 +5,7 @@ import tracemalloc
 
 import numpy as np
 
-from cohortkit.llm import jaccard, packing, paragraphs, text
+from cohortkit.llm import jaccard, mixing, packing, paragraphs, store, text
 from cohortkit.llm.queries import tokenizer_path
 
 
@@ -82,3 +82,12 @@ def test_only_texts_with_copies_are_cut_again(monkeypatch):
     assert cut == [texts[2].encode()]
     assert [g[1] for g in got] == n and [g[0] for g in got][:2] == texts[:2] and got[3] == ("", 0, 0, 0)
     assert got[2][2] == n[2] - 1 and got[2][0] in texts[2]
+
+
+def test_the_driver_gives_memory_back_in_the_mixture(spark, monkeypatch):
+    assert store.lighten(spark)
+    calls, lighten = [], store.lighten
+    monkeypatch.setattr(store, "lighten", lambda s: calls.append(lighten(s)))
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 2}") for i in range(9)], "doc_id long, text string, source string")
+    assert mixing.mix(docs).count() == 9
+    assert len(calls) >= 5 and all(calls)
