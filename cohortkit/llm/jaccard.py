@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortkit.llm.components import components
 from cohortkit.llm.store import discard, settle
-from cohortkit.llm.text import lean, lower_words, shingle_hashes
+from cohortkit.llm.text import chunks, distinct, lean, shingle_hashes
 
 #: At most so many of the most frequent shingles are ordered by frequency.  Any order gives
 #: the same links; this one keeps shared boilerplate out of the prefixes.
@@ -27,9 +27,14 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(*columns).alias("k1"), F.xxhash64(F.lit(7), *reversed(columns)).alias("k2")]
 
 
+def shingle_sets(texts: Iterable[str | None], size: int) -> Iterator[np.ndarray]:
+    """Per text the distinct shingles of all of it as sorted 64-bit hashes."""
+    for _, some in chunks(texts):
+        yield from map(distinct, shingle_hashes(some, size))
+
+
 def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The distinct shingles of a whole text as sorted 64-bit hashes."""
-    return np.unique(shingle_hashes(lower_words(text), size))
+    return next(shingle_sets([text], size))
 
 
 def repeated(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +57,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     @lean
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values, n = repeated([shingle_set(t, size) for t in batch["text"]])
+            values, n = repeated(list(shingle_sets(batch["text"], size)))
             yield pd.DataFrame({"token": values.view(np.int64), "n": n.astype(np.int64)})
 
     top = (docs.select("text").mapInPandas(count, "token long, n long").groupBy("token")
@@ -84,9 +89,8 @@ def document_sets(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             n, s1, s2, tokens = [], [], [], []
-            for text in batch["text"]:
+            for f in shingle_sets(batch["text"], size):
                 # of a whole set only its size, sums and prefix are held
-                f = shingle_set(text, size)
                 with np.errstate(over="ignore"):
                     s1.append(int(f.sum(dtype=np.uint64).view(np.int64)))
                     s2.append(int(((f ^ (f >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).sum(dtype=np.uint64)
@@ -155,8 +159,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, num:
         now, own = None, None
         for batch in batches:
             good = []
-            for a, b, text in zip(batch["a"], batch["b"], batch["text"]):
-                found = shingle_set(text, size)
+            for a, b, found in zip(batch["a"], batch["b"], shingle_sets(batch["text"], size)):
                 if pd.isna(b):
                     now, own = a, found
                     continue
@@ -177,8 +180,7 @@ def differences(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int) -
         now, own = None, None
         for batch in batches:
             out = []
-            for a, part, b, text in zip(batch["a"], batch["part"], batch["b"], batch["text"]):
-                found = shingle_set(text, size)
+            for a, part, b, found in zip(batch["a"], batch["part"], batch["b"], shingle_sets(batch["text"], size)):
                 if pd.isna(b):
                     if part == 0 and a != now:
                         out.append((a, a, len(found), len(found), np.zeros(0, np.int32), np.zeros(0, np.int64)))

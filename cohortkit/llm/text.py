@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -15,6 +15,8 @@ PRIME = (1 << 31) - 1
 BASES = (1_294_871_537, 1_876_104_923)
 #: So many powers of each are kept: one table serves all texts up to this size.
 KEPT_POWERS = 1 << 19
+#: Texts of fewer bytes need no folding before they are summed.
+UNFOLDED = 1 << 24
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -73,7 +75,9 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     sums = np.zeros((len(BASES), n + 1), np.uint64)
     symbols = data.astype(np.uint64) + np.uint64(1)
     for row, (up, _) in zip(sums, _prime_powers(max(KEPT_POWERS, 1 << n.bit_length()))):
-        np.cumsum(_fold(symbols * up[:n]), out=row[1:])   # terms under 2**32: no overflow in a text
+        terms = symbols * up[:n]
+        # terms are under 2**39, so sums of a short text stay under 2**63; folded ones are under 2**32
+        np.cumsum(terms if n < UNFOLDED else _fold(terms), out=row[1:])
     return sums
 
 
@@ -81,8 +85,8 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of data[start:end], the same wherever the stretch stands.
 
     Two polynomials modulo a prime, so that texts built from few patterns do not meet as they
-    do modulo a power of two.  (Texts are under 2**30 bytes, so a folded difference times a
-    power stays under 2**64.)"""
+    do modulo a power of two.  (Texts are under 2**30 bytes and a folded difference is under 1.5 * 2**32,
+    so its product with a power stays under 2**64.)"""
     n = sums.shape[1] - 1
     whole = np.zeros(len(starts), np.uint64)
     for row, (_, down) in zip(sums, _prime_powers(max(KEPT_POWERS, 1 << n.bit_length()))):
@@ -107,23 +111,70 @@ def quick_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return scramble((sums[size:] - sums[:n + 1 - size]) * down[:n + 1 - size])
 
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-
-
-def lower_words(text: str | None) -> list[bytes]:
-    """The words of a text, A-Z lower-cased: runs without ASCII white space."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-
-
-def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
-    """A hash of every n words in a row; of the whole sequence if it is shorter; none without words."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    k = min(n, len(words))
-    return span_hashes(prefix_sums(data), starts[:len(words) - k + 1], ends[k - 1:])
+#: Bytes of short texts that are looked at together (longer ones: alone, whole).
+CHUNK = 1 << 17
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_PLAIN = np.where(SPACE, np.uint8(32), LOWER)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted different values."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
+def _bytes(text: str | bytes | None) -> bytes:
+    if isinstance(text, bytes):
+        return text
+    return (text if isinstance(text, str) else "").encode("utf-8", "surrogatepass")
+
+
+def chunks(texts: Iterable[str | bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first, texts as bytes), neighbours together up to ``CHUNK`` bytes."""
+    start, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        data = _bytes(text)
+        if held and size + len(data) > CHUNK:
+            yield start, held
+            start, held, size = i, [], 0
+        held.append(data)
+        size += len(data)
+    if held:
+        yield start, held
+
+
+def shingle_hashes(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Per text a hash of every n words in a row; of all its words if they are fewer; none without words.
+
+    Words are runs without ASCII white space, A-Z lower-cased; a shingle is its words with one space between."""
+    data = _PLAIN[np.frombuffer(b"\n".join(texts), np.uint8)]
+    begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    inside = data != 32
+    # of each white space one byte stays, the one before a word
+    stay = inside.copy()
+    stay[:-1] |= inside[1:]
+    place = np.cumsum(np.r_[0, stay])
+    data, inside = data[stay], inside[stay]
+    starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
+    ends = np.flatnonzero(inside & ~np.r_[inside[1:], False]) + 1
+    if not len(starts):
+        return [starts.astype(np.uint64)] * len(texts)
+    # where each text's words begin, and how many words each has
+    edge = np.searchsorted(starts, place[np.minimum(begin, len(place) - 1)])
+    edge[-1] = len(starts)
+    words = np.diff(edge)
+    last = np.repeat(edge[1:], words) - 1
+    word = np.arange(len(starts))
+    first = (word + n - 1 <= last) | (word == np.repeat(edge[:-1], words))
+    at = np.flatnonzero(first)
+    found = span_hashes(prefix_sums(data), starts[at], ends[np.minimum(at + n - 1, last[at])])
+    cuts = np.r_[0, np.cumsum(first)][edge]
+    return [found[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 def give_back() -> None:
