@@ -8,12 +8,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cohortkit.llm.components import components
 from cohortkit.llm.jaccard import roots, row_key
 from cohortkit.llm.store import discard, settle
-from cohortkit.llm.text import lean, powers, prefix_sums, quiet, scramble, span_hashes
+from cohortkit.llm.text import (LOWER, SPACE, _bytes, chunks, distinct, lean, powers, prefix_sums, quiet, scramble,
+                                span_hashes)
 
 WORDS = 5                # words of a shingle
 THRESHOLD = (4, 5)       # Jaccard similarity from which paragraphs are copies
@@ -23,12 +25,7 @@ LEAST_RUN = 20           # words that adjacent copies must have together to be r
 ANCHOR = LEAST_RUN       # words of an anchor
 WINDOW = 31              # anchors are the least of so many in a row: every passage of 50 words has one
 WIDEN = ANCHOR + WINDOW - 1  # words that a match is widened by on each side of each of its anchors
-CHUNK = 1 << 18          # bytes of short texts that are cut together (longer ones: alone, whole)
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 
@@ -45,9 +42,9 @@ def tuned_bands(threshold: float, recall: float, most: int = 64) -> tuple[int, i
 
 
 BANDS, ROWS = tuned_bands(THRESHOLD[0] / THRESHOLD[1], RECALL)
-ANCHOR_SCHEMA = "k1 long, k2 long, doc_id long, pos int, run int, h long"
-UNIT_SCHEMA = ("k1 long, k2 long, doc_id long, idx int, words int, s1 long, s2 long, "
-               + ", ".join(f"b{i} long" for i in range(BANDS)))
+HASHED = ["s1", "s2", *[f"b{i}" for i in range(BANDS)]]
+#: An anchor's row has its place as idx, its run as words, its hash as s1, and nothing else.
+UNIT_SCHEMA = "k1 long, k2 long, doc_id long, anchor boolean, idx int, words int, " + ", ".join(f"{c} long" for c in HASHED)
 
 
 def _breaks(data: np.ndarray) -> np.ndarray:
@@ -73,10 +70,6 @@ def _least(x: np.ndarray, n: int, pick: np.ufunc = np.minimum) -> np.ndarray:
     return pick(x[:len(x) - (n - size)], x[n - size:]) if n > size else x
 
 
-def _bytes(text: str | None) -> bytes:
-    return (text if isinstance(text, str) else "").encode("utf-8", "surrogatepass")
-
-
 class Paragraphs:
     """Whole texts cut to paragraphs: at line ends, and after every sentence whose last two
     words hash to an even number, if it has four words.  The cuts depend on the words around
@@ -93,14 +86,14 @@ class Paragraphs:
         self.data = data
         self.sizes = [len(t) for t in texts]
         self.begin = np.cumsum([0, *[n + 1 for n in self.sizes[:-1]]])
-        inside = ~_SPACE[data] if len(data) else np.zeros(0, bool)
+        inside = ~SPACE[data] if len(data) else np.zeros(0, bool)
         begins = inside & ~np.r_[False, inside[:-1]] if len(data) else inside
         if len(data) and data.max() >= 0xE0:
             begins |= inside & _breaks(data)
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(inside & np.r_[(begins | ~inside)[1:], True]) + 1 if len(data) else self.starts
         n = len(self.starts)
-        self.hashes = span_hashes(prefix_sums(_LOWER[data]), self.starts, self.ends) if n else np.zeros(0, np.uint64)
+        self.hashes = span_hashes(prefix_sums(LOWER[data]), self.starts, self.ends) if n else np.zeros(0, np.uint64)
         if n:
             # where each text's words begin, and their numbers from there
             edge = np.searchsorted(self.starts, [*self.begin, len(data)])
@@ -140,7 +133,7 @@ class Paragraphs:
 
     def sets(self, which: np.ndarray) -> list[np.ndarray]:
         s = self.shingles()
-        return [np.unique(s[self.first[i]:self.last[i] - WORDS + 2]) for i in which]
+        return [distinct(s[self.first[i]:self.last[i] - WORDS + 2]) for i in which]
 
     @quiet
     def signatures(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -195,51 +188,57 @@ class Paragraphs:
         stay = new | np.r_[True, step[1:] != step[:-1]] | np.r_[new[1:], True]
         return word[stay], word[first[run]][stay], h[stay]
 
-    def around(self, word: int) -> tuple[bytes, bytes]:
-        """Hashes of the words before an anchor (from the nearest on) and of those after it."""
-        doc = self.word_doc[word]
-        lo, hi = np.searchsorted(self.word_doc, [doc, doc + 1])
-        short = lambda a, b: (self.hashes[a:b] >> np.uint64(32)).astype(np.uint32)
-        return (short(max(lo, word - WIDEN), word)[::-1].tobytes(),
-                short(word + ANCHOR, min(hi, word + ANCHOR + WIDEN)).tobytes())
-
-
-def chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first, texts as bytes), neighbours together up to ``CHUNK`` bytes."""
-    start, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        data = _bytes(text)
-        if held and size + len(data) > CHUNK:
-            yield start, held
-            start, held, size = i, [], 0
-        held.append(data)
-        size += len(data)
-    if held:
-        yield start, held
-
-
-def paragraph_table(docs: DataFrame) -> DataFrame:
-    """A row per paragraph of at least ``LEAST_WORDS`` words: its place, hashes and band keys; and
-    one per text, with idx -1 and the number of all its paragraphs as ``words``."""
-    hashed = ["s1", "s2", *[f"b{i}" for i in range(BANDS)]]
+    def short(self, lo: int, hi: int) -> tuple[bytes, bytes]:
+        """Four bytes of the hash of each word from lo to hi, backwards and forwards."""
+        h = (self.hashes[lo:hi] >> np.uint64(32)).astype(np.uint32)
+        return h[::-1].tobytes(), h.tobytes()
+
+    def around(self, words: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        """Hashes of the words before each anchor (from the nearest on) and of those after it."""
+        n = len(self.hashes)
+        back, ahead = self.short(0, n)
+        doc = self.word_doc[words]
+        lo = np.maximum(np.searchsorted(self.word_doc, doc), words - WIDEN)
+        hi = np.minimum(np.searchsorted(self.word_doc, doc, "right"), words + ANCHOR + WIDEN)
+        for a, word, b in zip(lo.tolist(), words.tolist(), hi.tolist()):
+            yield back[4 * (n - word):4 * (n - a)], ahead[4 * (word + ANCHOR):4 * b]
+
+
+def unit_table(docs: DataFrame) -> DataFrame:
+    """A row per paragraph of at least ``LEAST_WORDS`` words: its place, hashes and band keys; one per text, with
+    idx -1 and the number of all its paragraphs as ``words``; and one per anchor.  Texts are cut once for all."""
+    def rows(batch: pa.RecordBatch, own: np.ndarray, anchor: bool, **columns: np.ndarray) -> pa.RecordBatch:
+        names = batch.select(["k1", "k2", "doc_id"]).take(pa.array(own))
+        empty = pa.nulls(len(own), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [*names.columns, pa.array(np.full(len(own), anchor)),
+             *(pa.array(columns[c].astype(np.int32)) for c in ("idx", "words")),
+             *(pa.array(columns[c].view(np.int64)) if c in columns else empty for c in HASHED)],
+            ["k1", "k2", "doc_id", "anchor", "idx", "words", *HASHED])
 
     @lean
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, count = batch[["k1", "k2", "doc_id"]].astype({"doc_id": "Int64"}), np.zeros(len(batch), np.int32)
-            for start, texts in chunks(batch["text"]):
+            count, units, anchors = np.zeros(len(batch), np.int64), [], []
+            for start, texts in chunks(batch.column("text").cast(pa.large_binary()).to_pylist()):
                 p = Paragraphs(*texts)
                 count[start:start + len(texts)] = np.bincount(p.doc, minlength=len(texts))
                 which = np.flatnonzero(p.words >= LEAST_WORDS)
                 if len(which):
                     s1, s2, keys = p.signatures(which)
-                    own = rows.iloc[start + p.doc[which]].reset_index(drop=True)
-                    hashes = zip(hashed, [s1, s2, *keys])
-                    yield own.assign(idx=p.idx[which].astype(np.int32), words=p.words[which].astype(np.int32),
-                                     **{n: h.view(np.int64) for n, h in hashes})
-            yield rows.assign(idx=np.int32(-1), words=count, **{name: np.int64(0) for name in hashed})
+                    units.append((start + p.doc[which], p.idx[which], p.words[which], s1, s2, *keys))
+                word, run, h = p.anchors()
+                if len(word):
+                    anchors.append((start + p.word_doc[word], p.at[word], p.at[run], h))
+            none = np.zeros(len(batch), np.int64)
+            yield rows(batch, np.arange(len(batch)), False, idx=none - 1, words=count, **{c: none for c in HASHED})
+            for found, kind, names in ((units, False, HASHED), (anchors, True, HASHED[:1])):
+                if found:
+                    own, *columns = map(np.concatenate, zip(*found))
+                    yield rows(batch, own, kind, **dict(zip(["idx", "words", *names], columns)))
 
-    return settle(docs.select(*row_key("doc_id", "text"), "doc_id", "text").mapInPandas(cut, UNIT_SCHEMA))
+    return settle(docs.select(*row_key("doc_id", "text"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+                  .mapInArrow(cut, UNIT_SCHEMA))
 
 
 def alike(candidates: DataFrame, docs: DataFrame, block: int = 512) -> DataFrame:
@@ -274,6 +273,11 @@ def alike(candidates: DataFrame, docs: DataFrame, block: int = 512) -> DataFrame
              .select("key", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "s1", "shingles"))
 
     def linked(held: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+        if len(held) == 2:
+            (a, x), (b, y) = held.items()
+            n = len(x) + len(y)
+            both = n - len(distinct(np.concatenate([x, y])))
+            return [(max(a, b), min(a, b))] if den * both >= num * (n - both) else []
         ids, own = np.array(list(held), np.int64), list(held.values())
         names, code = np.unique(np.concatenate(own), return_inverse=True)
         row = np.repeat(np.arange(len(own)), [len(x) for x in own])
@@ -305,16 +309,17 @@ def alike(candidates: DataFrame, docs: DataFrame, block: int = 512) -> DataFrame
                       .mapInPandas(link, "s1 long, r1 long").distinct())
 
 
-def repeated_paragraphs(docs: DataFrame) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, every: DataFrame) -> DataFrame:
     """(k1, k2, which, n): per row content, the paragraphs that copy one kept elsewhere (none: an
     empty list), and the number of all its paragraphs.
 
     Paragraphs with the same words are one; those that share a MinHash band are compared
     exactly; components over the links are the clusters, and of each the first paragraph by
-    (doc_id, content, place) is kept.  Rows that repeat exactly count once.
+    (doc_id, content, place) is kept.  Rows that repeat exactly count once.  ``every`` is the
+    texts' ``unit_table``, used up here.
     """
-    every = paragraph_table(docs)
-    units = every.filter("idx >= 0")
+    texts = every.filter("NOT anchor")
+    units = texts.filter("idx >= 0")
     # keys under which different paragraphs meet
     small = F.hash("s1")
     banded = F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("key")
@@ -326,7 +331,7 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     stands = (units.select("s1", "k1", "k2", "idx").join(met.select("s1").distinct(), "s1", "left_semi")
               .groupBy("s1").agg(F.min(F.struct("k1", "k2", "idx")).alias("u")))
     candidates = settle(met.join(stands, "s1").select("key", "s1", "u.*"))
-    slim = settle(every.select("k1", "k2", "doc_id", "idx", "words", "s1", "s2"))
+    slim = settle(texts.select("k1", "k2", "doc_id", "idx", "words", "s1", "s2"))
     discard(met, every)
     units = slim.filter("idx >= 0")
     exact = units.groupBy("s1", "s2").agg(F.count("*").alias("m")).filter("m > 1").select("s1", "s2")
@@ -346,34 +351,30 @@ def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     return found
 
 
-def anchor_table(docs: DataFrame) -> DataFrame:
-    """A row per anchor: its text, its place there and its hash."""
-    @lean
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = batch[["k1", "k2", "doc_id"]].astype({"doc_id": "Int64"})
-            for start, texts in chunks(batch["text"]):
-                p = Paragraphs(*texts)
-                word, run, h = p.anchors()
-                own = rows.iloc[start + p.word_doc[word]].reset_index(drop=True)
-                yield own.assign(pos=p.at[word].astype(np.int32), run=p.at[run].astype(np.int32), h=h.view(np.int64))
-
-    return settle(docs.select(*row_key("doc_id", "text"), "doc_id", "text").mapInPandas(find, ANCHOR_SCHEMA))
+def repeated_anchors(every: DataFrame) -> DataFrame:
+    """(k1, k2, doc_id, pos, run, h) of a ``unit_table``'s anchors whose hash stands in several texts or runs."""
+    anchors = every.filter("anchor").select("k1", "k2", "doc_id", F.col("idx").alias("pos"), F.col("words").alias("run"),
+                                            F.col("s1").alias("h"))
+    # few, so found on short rows before the places travel
+    own = F.hash("k1", "k2", "run").alias("x")
+    again = settle(anchors.select("h", own).groupBy("h").agg(F.min("x").alias("x"), F.max("x").alias("y"))
+                   .filter("x <> y").select("h"))
+    table = settle(anchors.join(again, "h", "left_semi"))
+    discard(again)
+    return table
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """(k1, k2, anchors): per row content, the anchors that copy one that stands earlier, by (doc_id,
     content, place), with the words around that earlier one.
 
     What travels is a hash per anchor, and ``WIDEN`` word hashes on each side of the earlier one,
-    never a whole text.  A run does not copy itself.  Rows that repeat exactly count once."""
-    every = anchor_table(docs)
-    # hashes that stand in several texts or runs: few, so found on short rows before the places travel
-    own = F.hash("k1", "k2", "run").alias("x")
-    again = settle(every.select("h", own).groupBy("h").agg(F.min("x").alias("x"), F.max("x").alias("y"))
-                   .filter("x <> y").select("h"))
-    table = settle(every.join(again, "h", "left_semi"))
-    discard(every, again)
+    never a whole text.  A run does not copy itself.  Rows that repeat exactly count once.  ``table`` is
+    the texts' ``repeated_anchors``, used up here."""
+    if table is None:
+        every = unit_table(docs)
+        table = repeated_anchors(every)
+        discard(every)
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "k1", "k2", "pos", "run")
     kept = settle(table.groupBy("h").agg(F.min(place).alias("a"))
                   .select("h", F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("a.pos").alias("at"),
@@ -385,8 +386,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for start, texts in chunks(batch["text"]):
                 p = Paragraphs(*texts)
-                rows = [(x["h"], *p.around(int(np.searchsorted(p.word_doc, i)) + x["at"]))
-                        for i, some in enumerate(batch["w"].iloc[start:start + len(texts)]) for x in some]
+                some = batch["w"].iloc[start:start + len(texts)]
+                first = np.repeat(np.searchsorted(p.word_doc, np.arange(len(texts))), some.map(len))
+                words = first + np.array([x["at"] for w in some for x in w], np.int64)
+                rows = [(x["h"], *sides) for x, sides in zip((x for w in some for x in w), p.around(words))]
                 yield pd.DataFrame(rows, columns=["h", "before", "after"])
 
     words = (docs.select(*row_key("doc_id", "text"), "text").join(wanted, ["k1", "k2"]).select("text", "w")
@@ -404,18 +407,20 @@ def widened(p: Paragraphs, doc: int, anchors: Iterable[dict]) -> np.ndarray:
     """Which words of a text are in copied passages: the anchors, and as many words to each side
     as are the same around the earlier one."""
     lo, hi = np.searchsorted(p.word_doc, [doc, doc + 1])
-    h = (p.hashes[lo:hi] >> np.uint64(32)).astype(np.uint32)
-    gone = np.zeros(hi - lo, bool)
+    n = int(hi - lo)
+    back, ahead = p.short(lo, hi)
+    gone = np.zeros(n, bool)
 
-    def same(a: np.ndarray, b: np.ndarray) -> int:
-        n = min(len(a), len(b))
-        unlike = np.flatnonzero(a[:n] != b[:n])
-        return int(unlike[0]) if len(unlike) else n
+    def same(a: bytes, b: bytes) -> int:
+        size = min(len(a), len(b))
+        if a[:size] == b[:size]:
+            return size // 4
+        return int(np.argmax(np.frombuffer(a[:size], np.uint32) != np.frombuffer(b[:size], np.uint32)))
 
     for x in anchors:
         pos, end = x["pos"], x["pos"] + ANCHOR
-        left = same(h[max(0, pos - WIDEN):pos][::-1], np.frombuffer(x["before"], np.uint32))
-        right = same(h[end:end + WIDEN], np.frombuffer(x["after"], np.uint32))
+        left = same(back[4 * (n - pos):4 * (n - max(0, pos - WIDEN))], x["before"])
+        right = same(ahead[4 * end:4 * (end + WIDEN)], x["after"])
         gone[pos - left:end + right] = True
     return gone
 
@@ -480,9 +485,11 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """
     names = ["n_paragraphs", "n_removed", "words_removed"]
     keep = [c for c in docs.columns if c not in names]
-    found = repeated_paragraphs(docs).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "which",
+    every = unit_table(docs)
+    anchors = repeated_anchors(every)
+    found = repeated_paragraphs(docs, every).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "which",
                                               F.col("n").alias("_n"))
-    passages = repeated_passages(docs).select(F.col("k1").alias("_p1"), F.col("k2").alias("_p2"), "anchors")
+    passages = repeated_passages(docs, anchors).select(F.col("k1").alias("_p1"), F.col("k2").alias("_p2"), "anchors")
 
     @F.pandas_udf("text string, n_paragraphs long, n_removed long, words_removed long")
     def cut(texts: pd.Series, which: pd.Series, anchors: pd.Series, n: pd.Series) -> pd.DataFrame:
